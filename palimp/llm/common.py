@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +43,7 @@ def text_or_empty(name: str = "text") -> Column:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner see plans that are done, so that their shuffle files go before the next phase writes its own."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the driver's plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -1,10 +1,11 @@
 """Repeated passages by a depth-limited suffix order: equal groups of suffixes at the threshold depth are the repeated windows.
 
 The most significant digit of a suffix is the GRAM bytes at an anchor. Each window of SPAN bytes has the anchor that holds
-the least hash of its grams, wherever the window stands, so only anchors (about one byte in eighteen) have to be ordered and
-shuffled: equal windows have equal anchors at equal places. The first pass deals anchors by that digit; those in one place only
-leave. The rest are ordered by digits of eight bytes on both sides of the anchor, never deeper than SPAN bytes, in groups that
-split with each pass; a window is a pair of a group on the left and one on the right. All comparisons that decide are exact.
+the least hash of its grams, wherever the window stands, so only anchors (about one byte in fourteen) have to be ordered and
+shuffled: equal windows have equal anchors at equal places. The first pass deals anchors by that digit. Those of one document
+leave, and so do those whose whole surroundings (a 64-bit hash of all bytes that a window with this anchor can reach) agree.
+The rest are ordered by digits of eight bytes on both sides of the anchor, never deeper than SPAN bytes, in groups that split
+with each pass; a window is a pair of a group on the left and one on the right.
 """
 
 from __future__ import annotations
@@ -14,28 +15,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimp.llm.common import bound_batches, release_shuffles, stored
 
-GRAM = 16
-#: Documents that are worked on together, bytes of them at a time, and anchors that one task of a pass should hold.
-BATCH_DOCS_LOG2, CHUNK_BYTES, BUCKET_ANCHORS = 8, 1 << 19, 1 << 19
+GRAM = 24
+#: Most documents and bytes that are worked on together, bytes of them at a time, and anchors that one task of a pass should hold.
+BATCH_DOCS, BATCH_BYTES, CHUNK_BYTES, BUCKET_ANCHORS = 512, 1 << 21, 1 << 19, 1 << 19
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
+_BYTE = np.random.default_rng(20240301).integers(0, 2**63, 256, dtype=np.uint64)
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, by doubling."""
+    """A hash of the GRAM bytes from each place on: of eight bytes by doubling, then of three times eight."""
     h, width = data.astype(np.uint64) + np.uint64(1), 1
-    for m in _MULT:
+    for m in _MULT[:3]:
         h = h[:-width] * m + h[width:]
         width *= 2
         h = (h ^ (h >> np.uint64(31))) * _MULT[0]
+    n = len(h) - 2 * width
+    h = (h[:n] * _MULT[1] + h[width : n + width]) * _MULT[2] + h[2 * width :]
+    h = (h ^ (h >> np.uint64(32))) * _MULT[3]
     return h ^ (h >> np.uint64(29))
 
 
+class Strings:
+    """Hashes of any part of data, from sums over powers of an odd base and their inverses."""
+
+    def __init__(self, data: np.ndarray):
+        if not _powers or len(_powers[0]) < len(data) + 1:
+            n = max(len(data) + 1, CHUNK_BYTES + 1)
+            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _powers[0][: len(data)], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.sums[end] - self.sums[start]) * _powers[1][start]
+        return (h ^ (h >> np.uint64(32))) * _MULT[0]
+
+
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least or largest of each window of so many."""
     f, w = (np.minimum if least else np.maximum), 1
@@ -58,13 +83,42 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Batch:
-    """The documents of a batch in the order of their ids, and what all passes need again of them: anchors, shared anchors, contexts."""
+    """The documents of a batch in the order of their ids, and what all passes find again of them: anchors, and the kinds of anchors with equal surroundings.
+
+    at: (chunk's first document, bytes, bounds) of each chunk; rows: chunk, place, document, bytes of surroundings on the left
+    and on the right of each anchor; kind: of each row; hashes, around, least: gram hash, hash of surroundings and least id of
+    each kind, ordered by bucket and hashes; parts: the kinds of each bucket.
+    """
 
-    def __init__(self, ids: list, texts: list[bytes], span: int):
+    def __init__(self, ids: list, texts: list[bytes], span: int, buckets: int):
         self.span, self.left, self.right = span, span - GRAM, span
-        order = sorted((k for k, i in enumerate(ids) if i is not None and len(texts[k]) >= span), key=lambda k: ids[k])
-        self.ids, self.texts, self.order = ids, texts, order
-        self.rank_ids = np.array([ids[k] for k in order], np.int64)
+        self.order = order = sorted((k for k, i in enumerate(ids) if i is not None and len(texts[k]) >= span), key=lambda k: ids[k])
+        self.texts, self.rank_ids = texts, np.array([ids[k] for k in order], np.int64)
+        self.at, rows, hashes, around = [], [np.zeros((0, 5), np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for first, data, bounds in self.chunks():
+            p, h = anchors(data, span)
+            doc = np.searchsorted(bounds, p, "right") - 1
+            inside = p + GRAM <= bounds[doc + 1]
+            p, h, doc = p[inside], h[inside], doc[inside]
+            left, right = np.minimum(p - bounds[doc], self.left), np.minimum(bounds[doc + 1] - p, self.right)
+            rows.append(np.stack([np.full(len(p), len(self.at)), p, doc + first, left, right], 1))
+            hashes.append(h)
+            around.append(Strings(data).hashes(p - left, p + right) ^ ((left << 8 | right).astype(np.uint64) * _MULT[1]))
+            self.at.append((first, data, bounds))
+        self.rows, h, c = np.concatenate(rows), np.concatenate(hashes), np.concatenate(around)
+        ids = self.rank_ids[self.rows[:, 2]] if len(h) else np.zeros(0, np.int64)
+        by = np.lexsort((c, h, h & np.uint64(buckets - 1)))
+        h, c = h[by], c[by]
+        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        self.kind = np.empty(len(h), np.int64)
+        self.kind[by] = np.cumsum(new) - 1
+        self.hashes, self.around = h[starts], c[starts]
+        self.least = np.minimum.reduceat(ids[by], starts) if len(starts) else np.zeros(0, np.int64)
+        holder = by[np.lexsort((ids[by], self.kind[by]))][starts] if len(starts) else starts
+        self.holder = holder  # a row of each kind whose document has the least id
+        cuts = np.searchsorted(self.hashes & np.uint64(buckets - 1), np.arange(buckets + 1, dtype=np.uint64))
+        self.parts = {k: slice(a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a}
 
     def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First document (its place in order), bytes and bounds of so many documents as fit a chunk."""
@@ -78,62 +132,26 @@ class Batch:
             yield at, np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
             at = to
 
-    def find(self) -> None:
-        """at: (chunk's first document, bytes, bounds, places, hashes, document of each) of each chunk, anchors inside documents only."""
-        self.at = []
-        for first, data, bounds in self.chunks():
-            places, hashes = anchors(data, self.span)
-            doc = np.searchsorted(bounds, places, "right") - 1
-            inside = places + GRAM <= bounds[doc + 1]
-            self.at.append((first, data, bounds, places[inside], hashes[inside], doc[inside]))
-
-    def digits(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """The batch's different anchor hashes by bucket and hash, and whether documents of two ids hold them."""
-        hashes = np.concatenate([c[4] for c in self.at]) if self.at else np.zeros(0, np.uint64)
-        doc = np.concatenate([c[5] + c[0] for c in self.at]) if self.at else np.zeros(0, np.int64)
-        order = np.lexsort((hashes, hashes & np.uint64(buckets - 1)))
-        hashes, doc = hashes[order], doc[order]
-        starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
-        ids = self.rank_ids[doc]
-        several = np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts) if len(starts) else np.zeros(0, bool)
-        return hashes[starts], several
-
-    def contexts(self, shared: np.ndarray) -> None:
-        """rows: for each anchor with a shared hash, its chunk, place, document and bytes of context; kinds: the different ones, each with its least id; kind: of each row.
-
-        A record is hash, left bytes (nearest first), right bytes, and how many of each lie in the document.
-        """
-        width = 8 + self.left + self.right + 2
-        rows, records = [], []
-        for n, (first, data, bounds, places, hashes, doc) in enumerate(self.at):
-            k = np.minimum(np.searchsorted(shared, hashes), max(len(shared) - 1, 0))
-            keep = shared[k] == hashes if len(shared) else np.zeros(len(hashes), bool)
-            p, d = places[keep], doc[keep]
-            if not len(p):
-                continue
-            left = np.minimum(p - bounds[d], self.left)
-            right = np.minimum(bounds[d + 1] - p, self.right)
-            rec = np.zeros((len(p), width), np.uint8)
-            rec[:, :8] = hashes[keep].astype(">u8").view(np.uint8).reshape(-1, 8)
-            back, ahead = np.arange(1, self.left + 1), np.arange(self.right)
-            rec[:, 8 : 8 + self.left] = np.where(back[None] <= left[:, None], data[np.maximum(p[:, None] - back[None], 0)], 0)
-            rec[:, 8 + self.left : -2] = np.where(ahead[None] < right[:, None], data[np.minimum(p[:, None] + ahead[None], len(data) - 1)], 0)
-            rec[:, -2], rec[:, -1] = left, right
-            records.append(rec)
-            rows.append(np.stack([np.full(len(p), n), p, d + first, left, right], 1))
-        self.rows = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
-        rec = np.concatenate(records) if records else np.zeros((0, width), np.uint8)
-        kinds, where, self.kind = np.unique(np.ascontiguousarray(rec).view(f"V{width}").reshape(-1), return_index=True, return_inverse=True)
-        self.kinds = rec[where]
-        self.least = np.full(len(kinds), np.iinfo(np.int64).max)
-        np.minimum.at(self.least, self.kind, self.rank_ids[self.rows[:, 2]])
-
-    def cover(self, masks: np.ndarray) -> list[np.ndarray]:
-        """Which bytes of each chunk go: masks have a bit o for each kind whose window from o bytes left of the anchor stands in a smaller document."""
+    def surroundings(self, kinds: np.ndarray) -> np.ndarray:
+        """A record for each kind: bytes on the left (nearest first), bytes on the right, and how many of each lie in the document."""
+        out = np.zeros((len(kinds), self.left + self.right + 2), np.uint8)
+        chunk, p, _, left, right = self.rows[self.holder[kinds]].T
+        back, ahead = np.arange(1, self.left + 1), np.arange(self.right)
+        for n, (_, data, _b) in enumerate(self.at):
+            k = np.flatnonzero(chunk == n)
+            q = p[k][:, None]
+            out[k, : self.left] = np.where(back[None] <= left[k][:, None], data[np.maximum(q - back[None], 0)], 0)
+            out[k, self.left : -2] = np.where(ahead[None] < right[k][:, None], data[np.minimum(q + ahead[None], len(data) - 1)], 0)
+        out[:, -2], out[:, -1] = left, right
+        return out
+
+    def cover(self, states: np.ndarray, masks: np.ndarray) -> list[np.ndarray]:
+        """Which bytes of each chunk go: all windows of kinds in state HELD and of later documents, and of each kind those with a bit o in its mask, from o bytes left of the anchor on."""
         chunk, p, doc, left, right = self.rows.T
         low, high = np.maximum(0, self.span - right), np.minimum(self.left, left)
         valid = np.where(high >= low, (np.int64(1) << (high + 1)) - (np.int64(1) << low), 0)
-        bits = np.where(self.rank_ids[doc] > self.least[self.kind], valid, masks[self.kind] & valid)
+        later = self.rank_ids[doc] > self.least[self.kind] if len(doc) else np.zeros(0, bool)
+        bits = np.where(later | (states[self.kind] == HELD), valid, masks[self.kind] & valid)
         whole = (bits == valid) & (valid != 0)
         starts, ends, chunks = [(p - high)[whole]], [(p - low + self.span)[whole]], [chunk[whole]]
         some = np.flatnonzero((bits != 0) & ~whole)
@@ -144,7 +162,7 @@ class Batch:
             chunks.append(chunk[k])
         starts, ends, chunks = map(np.concatenate, (starts, ends, chunks))
         out = []
-        for n, (_, data, *_rest) in enumerate(self.at):
+        for n, (_, data, _b) in enumerate(self.at):
             k = chunks == n
             diff = np.bincount(starts[k], minlength=len(data) + 1) - np.bincount(ends[k], minlength=len(data) + 1)
             out.append(np.cumsum(diff)[:-1] > 0)
@@ -184,14 +202,34 @@ def _depths(group: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.r_[-1, np.where(g[1:] == g[:-1], shared, -1)] if len(order) else np.zeros(0, np.int64)
 
 
-def repeated(kinds: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
-    """For each context the bits of windows that also stand in a context of a smaller id."""
-    n, left = len(kinds), span - GRAM
-    group = np.ascontiguousarray(kinds[:, :8]).view(">u8").reshape(-1).astype(np.uint64)
-    group = np.unique(group, return_inverse=True)[1]
-    lo, ld = _depths(group, kinds[:, 8 : 8 + left])
-    ro, rd = _depths(group, kinds[:, 8 + left : -2])
-    in_left, in_right = kinds[:, -2].astype(np.int64), kinds[:, -1].astype(np.int64)
+#: What a kind of anchor is after the first pass: nothing smaller holds its windows; a smaller document holds them all; windows have to be looked at.
+FREE, HELD, MIXED = 0, 1, 2
+
+
+def states_of(hashes: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The state of each kind from the gram hashes, the hashes of surroundings and the least ids of all kinds of a bucket."""
+    order = np.lexsort((ids, around, hashes))
+    h, c, i = hashes[order], around[order], ids[order]
+    first = np.r_[True, h[1:] != h[:-1]]
+    same = np.r_[True, first[1:] | (c[1:] != c[:-1])]
+    of_gram, of_kind = np.cumsum(first) - 1, np.cumsum(same) - 1
+    grams = np.flatnonzero(first)
+    one_document = np.minimum.reduceat(i, grams) == np.maximum.reduceat(i, grams)
+    one_kind = np.add.reduceat(same.astype(np.int64), grams) == 1
+    least = i[same][of_kind]
+    out = np.empty(len(order), np.uint8)
+    out[order] = np.where(i > least, HELD, np.where((one_document | one_kind)[of_gram], FREE, MIXED))
+    return out
+
+
+def repeated(records: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
+    """For each record of surroundings the bits of windows that also stand in a record of a smaller id."""
+    n, left = len(records), span - GRAM
+    ro, rd = _depths(np.zeros(n, np.int64), records[:, left:-2])
+    gram = np.empty(n, np.int64)
+    gram[ro] = np.cumsum(rd < GRAM)
+    lo, ld = _depths(gram, records[:, :left])
+    in_left, in_right = records[:, -2].astype(np.int64), records[:, -1].astype(np.int64)
     masks = np.zeros(n, np.int64)
     for o in range(left + 1):
         rows = np.flatnonzero((in_left >= o) & (in_right >= span - o))
@@ -209,109 +247,130 @@ def repeated(kinds: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
     return masks
 
 
+def _narrow(ids: np.ndarray) -> tuple[int, bytes, int]:
+    """Ids as a base, offsets in as few bytes as hold them, and those bytes' number."""
+    base = int(ids.min())
+    offsets = (ids - base).astype(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if int(offsets.max()) < 1 << 8 * w)
+    return base, offsets.astype(f"<u{width}").tobytes(), width
+
+
+def _wide(t: pa.Table) -> np.ndarray:
+    return np.concatenate([np.frombuffer(o, f"<u{w}").astype(np.int64) + b for b, o, w in zip(*(t.column(c).to_pylist() for c in ("base", "ids", "width")), strict=True)])
+
+
 def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with texts: kept, the bytes that stay).
 
     A byte goes if a string of span bytes that covers it also starts in a document with a smaller id. Documents are
-    written once in batches of a few hundred; both passes return to a batch one bit or mask for each of its anchors. A batch
-    sends each anchor and each context once, so a passage in a third of all documents is no hot group.
+    written once in batches of a few hundred; the passes return to a batch two bits or a mask for each of its anchors. A batch
+    sends each anchor with the same surroundings once, so a passage in a third of all documents is no hot group.
     Null or empty text: 0 bytes, nothing goes. A null id is neither smaller nor larger than another, so its row stays
     whole and removes nothing; rows of the same id don't remove one another. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(spark, 16)  # batches of documents are rows too
     if not 2 * GRAM <= span <= 62 + GRAM:
         raise ValueError(f"spans have {2 * GRAM} to {62 + GRAM} bytes")
-    batch = F.shiftright(F.monotonically_increasing_id(), BATCH_DOCS_LOG2).alias("batch")
-    table = stored(docs.select(batch, F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")), "batches")
-    total = table.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each batch of documents."""
+        task = TaskContext.get()
+        number, ids, texts, size = (task.partitionId() if task else 0) << 33, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary())), pa.array([size], pa.int64())], ["batch", "k", "text", "size"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ids and (len(ids) >= BATCH_DOCS or size + len(t) > BATCH_BYTES):
+                    yield row()
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+        if ids:
+            yield row()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), text).mapInArrow(together, "batch long, k array<long>, text array<binary>, size long")
+    table = stored(rows, "batches")
+    total = table.agg(F.sum("size").alias("n")).first()["n"] or 0
+    # A bucket grows neither with the input nor with how often a passage repeats.
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total * 2 / (span - GRAM + 2) / BUCKET_ANCHORS)))))
-
-    def opened(t: pa.Table) -> Batch:
-        b = Batch(t.column("k").to_pylist(), t.column("text").to_pylist(), span)
-        b.find()
-        return b
-
-    def cut(values: np.ndarray) -> list[slice]:
-        """The part of each bucket among values that are ordered by bucket."""
-        at = np.searchsorted(values & np.uint64(buckets - 1), np.arange(buckets + 1, dtype=np.uint64))
-        return [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def first_digits(t: pa.Table) -> pa.Table:
-        hashes, several = opened(t).digits(buckets)
-        out = [(k, hashes[s].astype("<u8").tobytes(), np.packbits(several[s]).tobytes()) for k, s in enumerate(cut(hashes)) if s.stop > s.start]
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "batch": pa.array([t.column("batch")[0].as_py()] * len(out), pa.int64()), "hashes": pa.array([r[1] for r in out], pa.binary()), "several": pa.array([r[2] for r in out], pa.binary())})
-
-    def in_several(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(h, "<u8") for h in t.column("hashes").to_pylist()]
-        flags = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)).astype(bool) for s, p in zip(t.column("several").to_pylist(), parts, strict=True)])
-        hashes = np.concatenate(parts)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        flags[order] |= np.r_[same, False] | np.r_[False, same]
+    bits = np.uint64(max(0, buckets.bit_length() - 1))
+
+    def opened(t: pa.Table) -> tuple[Batch, list, list]:
+        ids, texts = ([x for row in t.column(c).to_pylist() for x in row] for c in ("k", "text"))
+        return Batch(ids, texts, span, buckets), ids, texts
+
+    def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch's kinds by bucket: 32 bits of the gram hash beyond the bucket's, the hash of surroundings, the least id."""
+        for several in batches:
+            for n in range(several.num_rows):
+                t = several.slice(n, 1)
+                b, _, _ = opened(pa.table(t))
+                grams = (b.hashes >> bits).astype("<u4")
+                out = [(k, t.column("batch")[0].as_py(), grams[s].tobytes(), b.around[s].astype("<u8").tobytes(), *_narrow(b.least[s])) for k, s in b.parts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["bucket", "batch", "grams", "around", "base", "ids", "width"])
+
+    def judged(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(h, "<u4") for h in t.column("grams").to_pylist()]
+        states = states_of(np.concatenate(parts), np.frombuffer(b"".join(t.column("around").to_pylist()), "<u8"), _wide(t))
         bounds = np.cumsum([0, *map(len, parts)])
-        masks = [flags[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        keep = [k for k, m in enumerate(masks) if m.any()]
-        return pa.table({"batch": t.column("batch").take(pa.array(keep, pa.int64())), "phase": pa.array([1] * len(keep), pa.int32()), "bucket": t.column("bucket").take(pa.array(keep, pa.int64())), "reply": pa.array([np.packbits(masks[k]).tobytes() for k in keep], pa.binary())})
-
-    def shared(b: Batch, replies: pa.Table) -> np.ndarray:
-        hashes, _ = b.digits(buckets)
-        parts, got = cut(hashes), []
-        for phase, bucket, reply in zip(*(replies.column(c).to_pylist() for c in ("phase", "bucket", "reply")), strict=True):
+        own = [states[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        keep = pa.array([k for k, m in enumerate(own) if m.any()], pa.int64())
+        packed = [np.packbits(np.stack([m == HELD, m == MIXED], 1)).tobytes() for m in own if m.any()]
+        return pa.table({"batch": t.column("batch").take(keep), "phase": pa.array([1] * len(keep), pa.int32()), "bucket": t.column("bucket").take(keep), "reply": pa.array(packed, pa.binary())})
+
+    def replied(b: Batch, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """State and mask of each kind of a batch."""
+        states, masks = np.zeros(len(b.hashes), np.uint8), np.zeros(len(b.hashes), np.int64)
+        got = sorted(zip(*(replies.column(c).to_pylist() for c in ("phase", "bucket", "reply")), strict=True))
+        for phase, bucket, reply in got:
+            part = b.parts[bucket]
             if phase == 1:
-                part = hashes[parts[bucket]]
-                got.append(part[np.unpackbits(np.frombuffer(reply, np.uint8), count=len(part)).astype(bool)])
-        return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
-
-    def by_bucket(b: Batch) -> list[tuple[int, np.ndarray]]:
-        """The contexts of each bucket, in an order that every pass finds again."""
-        bucket = np.ascontiguousarray(b.kinds[:, :8]).view(">u8").reshape(-1).astype(np.uint64) & np.uint64(buckets - 1)
-        order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        return [(k, order[a:z]) for k, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
+                flags = np.unpackbits(np.frombuffer(reply, np.uint8), count=2 * (part.stop - part.start)).reshape(-1, 2)
+                states[part] = flags[:, 0] * HELD + flags[:, 1] * MIXED
+            else:
+                masks[part.start + np.flatnonzero(states[part] == MIXED)] = np.frombuffer(reply, "<i8")
+        return states, masks
 
     def next_digits(t: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if t.num_rows and replies.num_rows:
-            b = opened(t)
-            b.contexts(shared(b, replies))
-            out = [(k, b.kinds[rows].tobytes(), b.least[rows].astype("<i8").tobytes()) for k, rows in by_bucket(b)]
-        batch = [t.column("batch")[0].as_py()] * len(out) if out else []
-        return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()), "batch": pa.array(batch, pa.int64()), "kinds": pa.array([r[1] for r in out], pa.binary()), "ids": pa.array([r[2] for r in out], pa.binary())})
+            b, _, _ = opened(t)
+            states, _ = replied(b, replies)
+            for k, s in b.parts.items():
+                kinds = s.start + np.flatnonzero(states[s] == MIXED)
+                if len(kinds):
+                    out.append((k, t.column("batch")[0].as_py(), b.surroundings(kinds).tobytes(), *_narrow(b.least[kinds])))
+        return pa.table({c: pa.array([r[k] for r in out], x) for k, (c, x) in enumerate((("bucket", pa.int32()), ("batch", pa.int64()), ("records", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())))})
 
     def ordered(t: pa.Table) -> pa.Table:
-        width = 8 + 2 * span - GRAM + 2
-        kinds = np.frombuffer(b"".join(t.column("kinds").to_pylist()), np.uint8).reshape(-1, width)
-        parts = t.column("ids").to_pylist()
-        masks = repeated(kinds, np.frombuffer(b"".join(parts), "<i8"), span)
-        bounds = np.cumsum([0, *(len(p) // 8 for p in parts)])
+        parts = [np.frombuffer(r, np.uint8).reshape(-1, 2 * span - GRAM + 2) for r in t.column("records").to_pylist()]
+        masks = repeated(np.concatenate(parts), _wide(t), span)
+        bounds = np.cumsum([0, *map(len, parts)])
         return pa.table({"batch": t.column("batch"), "phase": pa.array([2] * t.num_rows, pa.int32()), "bucket": t.column("bucket"), "reply": pa.array([masks[a:z].astype("<i8").tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
     def removed(t: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, data = t.column("k").to_pylist(), t.column("text").to_pylist()
+        b, ids, data = opened(t)
         result = [(0, 0, None)] * len(ids)
-        if replies.num_rows:
-            b = opened(t)
-            b.contexts(shared(b, replies))
-            masks = np.zeros(len(b.kinds), np.int64)
-            rows = dict(by_bucket(b))
-            for phase, bucket, reply in zip(*(replies.column(c).to_pylist() for c in ("phase", "bucket", "reply")), strict=True):
-                if phase == 2:
-                    masks[rows[bucket]] = np.frombuffer(reply, "<i8")
-            for (first, chunk, bounds, *_), gone in zip(b.at, b.cover(masks), strict=True):
-                for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                    if (g := gone[a:z]).any():
-                        result[b.order[first + k]] = (int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), chunk[a:z][~g].tobytes())
+        states, masks = replied(b, replies)
+        for (first, chunk, bounds), gone in zip(b.at, b.cover(states, masks), strict=True):
+            for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if (g := gone[a:z]).any():
+                    result[b.order[first + k]] = (int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), chunk[a:z][~g].tobytes())
         kept = [d if r[2] is None else r[2] for d, r in zip(data, result, strict=True)]
-        out = {"k": t.column("k"), "n_bytes": pa.array([len(d) for d in data], pa.int64()), "n_removed": pa.array([r[0] for r in result], pa.int64()), "n_spans": pa.array([r[1] for r in result], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        out = {"k": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(d) for d in data], pa.int64()), "n_removed": pa.array([r[0] for r in result], pa.int64()), "n_spans": pa.array([r[1] for r in result], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     reply = "batch long, phase int, bucket int, reply binary"
-    digits = table.groupBy("batch").applyInArrow(first_digits, "bucket int, batch long, hashes binary, several binary")
-    one = stored(digits.groupBy("bucket").applyInArrow(in_several, reply), "first-replies")
+    digits = table.mapInArrow(first_digits, "bucket int, batch long, grams binary, around binary, base long, ids binary, width int")
+    one = stored(digits.groupBy("bucket").applyInArrow(judged, reply), "first-replies")
     release_shuffles(spark)
-    contexts = table.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(next_digits, "bucket int, batch long, kinds binary, ids binary")
-    two = stored(contexts.groupBy("bucket").applyInArrow(ordered, reply), "second-replies")
+    records = table.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(next_digits, "bucket int, batch long, records binary, base long, ids binary, width int")
+    two = stored(records.groupBy("bucket").applyInArrow(ordered, reply), "second-replies")
     release_shuffles(spark)
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     out = table.groupBy("batch").cogroup(one.unionByName(two).groupBy("batch")).applyInArrow(removed, schema)

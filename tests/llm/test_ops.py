@@ -237,7 +237,7 @@ def plain_repeats(rows, span):
 @pytest.mark.parametrize("per_bucket", [1 << 19, 64])
 def test_repeats(spark, monkeypatch, per_bucket):
     monkeypatch.setattr(repeats, "BUCKET_ANCHORS", per_bucket)
-    monkeypatch.setattr(repeats, "BATCH_DOCS_LOG2", 2)
+    monkeypatch.setattr(repeats, "BATCH_DOCS", 4)
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 4000)
     r = random.Random(8)
     passages = [words(80 + k, n) for k, n in enumerate((12, 20, 40, 9, 10, 8))] + ["ab" * 60, "\0" * 130, "é" * 70]
