@@ -6,7 +6,7 @@ has the same windows; the values in the slots must then map one to one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp.llm.common import stored, text_or_empty
@@ -54,7 +54,8 @@ def _windows(rows: DataFrame) -> DataFrame:
     step = rows.select(*kept, _codes(F.col("tokens")).alias("c"))
     for width in (1, 2, 4):
         step = step.select(*kept, _doubled(F.col("c"), width).alias("c"))
-    return step.select(*kept, F.posexplode("c").alias("at", "hash"))
+    # The outer form, as Spark else repeats all of the above in a filter for non-empty arrays.
+    return step.select(*kept, F.posexplode_outer("c").alias("at", "hash")).where("hash is not null")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -74,8 +75,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = _windows(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = stored(hits, "benchmark-hits")
     # Windows of a run follow one another: item_at less its rank is the same within a run.
-    from pyspark.sql import Window
-
     run = Window.partitionBy("k", "version", "item", "size", "shift").orderBy("item_at")
     runs = hits.withColumn("run", F.col("item_at") - F.row_number().over(run)).groupBy("k", "version", "item", "size", "shift", "run").agg(F.min("item_at").alias("first"), (F.max("item_at") + WINDOW).alias("past"))
     runs = stored(runs.withColumn("n_words", F.col("past") - F.col("first")).where(F.col("n_words") >= F.least(F.lit(LEAST_WORDS), F.col("size"))), "benchmark-runs")
