@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import json
 import random
+from collections import defaultdict
+from math import sqrt
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp.model import Corpus
+from palimp.plans import cases
+from palimp.sources.readers import csv_text
 from palimp.operators.lineage import line_classes, nearest_lines
 
 DECISIONS = ("accepted", "rejected", "unclear")
 REVIEW = "review_id string, edge_id string, reviewer string, decision string, note string, created_at timestamp_ntz"
-SIZES = {"edges": 20, "candidates": 20, "extractions": 20, "lineage": 10, "cues": 20, "exchanges": 10, "references": 20}
-HIDDEN = ("classification", "category", "evidence_tier", "temporal_status", "resolved")
+SIZES = {"edges": 20, "candidates": 20, "extractions": 20, "lineage": 10, "cues": 20, "exchanges": 10, "references": 20, "questions": 3}
+HIDDEN = ("classification", "similarity", "category", "evidence_tier", "temporal_status", "resolved", "support", "status", "novelty")
+#: What a section's marks count for: measure (with columns of the row), and the first answers that are hits. The second list is of second answers.
+MEASURES = {
+    "edges": [("{relation} (all)", ("accept",)), ("{relation} / {temporal_status}", ("accept",)), ("{relation}: uncertain", ("uncertain",))],
+    "candidates": [("{relation} (all)", ("accept",)), ("{relation}: uncertain", ("uncertain",))],
+    "extractions": [("extraction (all)", ("yes",)), ("extraction / {artifact_type}", ("yes",))],
+    "lineage": [("lineage (all)", None), ("lineage / {classification}", None)],
+    "cues": [("cues (all)", ("yes",)), ("cues / {category}", ("yes",)), ("cues: yes or partly", ("yes", "partly"))],
+    "exchanges": [("exchanges", ("yes",)), ("exchanges: yes or partly", ("yes", "partly"))],
+    "references": [("references (all)", ("yes",)), ("references / {ref_type}", ("yes",))],
+    "questions": [("answers (all)", ("correct",)), ("answers / {question}", ("correct",))],
+}
+SECOND = {"edges": ("{relation}: text shows a handoff", ("explicit",)), "extractions": ("extractions: distinctive", ("distinctive",)), "exchanges": ("exchanges: answers or timing", ("answers", "timing"))}
+LINEAGE_ANSWER = {"inherited": "same", "restored": "same", "modified": "edit", "new": "new", "first_observed": "new"}
 
 
 def digest_sample(df: DataFrame, key: str, n: int, seed: str = "7") -> DataFrame:
@@ -42,6 +61,9 @@ def pack(c: Corpus, sizes: dict[str, int] = SIZES, seed: str = "7") -> dict[str,
         "exchanges": digest_sample(with_id(c["exchange"], "a_item_id", "b_item_id"), "id", sizes["exchanges"], seed),
         "references": stratified(with_id(c["reference"], "item_id", "span_start", "ref_type"), "ref_type", "id", sizes["references"], seed),
     }
+    some = [r[0] for r in digest_sample(c["artifact_counts"].where("novel_items >= 2").select("artifact_id"), "artifact_id", sizes["questions"], seed).collect()]
+    asked = [(f"{a}#{x['id']}", a, x["id"], x["question"], x["claim"], x["status"]) for a in some for x in cases.answers(c, a)]
+    out["questions"] = c.spark.createDataFrame(asked, "id string, artifact_id string, question string, asked string, claim string, status string")
     return out
 
 
@@ -70,6 +92,75 @@ def score(marks: DataFrame) -> DataFrame:
     return wilson(per).join(two, "section", "left").fillna(0, ["agreed", "both"])
 
 
+def write_pack(c: Corpus, folder: str, sizes: dict[str, int] = SIZES, seed: str = "7") -> list[dict]:
+    """Write a numbered pack: what reviewers see (JSON and an inert page), an answer sheet, and the key with what the rules said."""
+    key = []
+    for section, df in pack(c, sizes, seed).items():
+        for r in sorted((r.asDict(True) for r in df.collect()), key=lambda r: r["id"]):  # as many as the sizes say
+            key.append({"number": f"R{len(key) + 1:03d}", "section": section} | r)
+    seen = [{k: v for k, v in r.items() if k not in HIDDEN} for r in key]
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    dump = lambda name, data: Path(folder, name).write_text(json.dumps(data, ensure_ascii=False, default=str, indent=1), encoding="utf-8")
+    dump("review_items.json", seen)
+    dump("review_key.json", {"items": key})
+    Path(folder, "review_sheet.csv").write_text(csv_text([{"number": r["number"], "section": r["section"], "first": "", "second": ""} for r in key]), encoding="utf-8")
+    page = (
+        '<!DOCTYPE html><meta charset="utf-8"><title>Review</title><body><script type="application/json" id="data">' + cases._safe(seen) + "</script><script>"
+        "for(const r of JSON.parse(document.getElementById('data').textContent)){const p=document.createElement('pre');p.textContent=JSON.stringify(r,null,1);document.body.append(p)}</script></body>"
+    )
+    Path(folder, "review_pack.html").write_text(page, encoding="utf-8")
+    return key
+
+
+def bounds(hits: int, n: int, z: float = 1.96) -> tuple[float, float]:
+    if not n:
+        return 0.0, 0.0
+    p, over = hits / n, 1 + z * z / n
+    middle, spread = p + z * z / (2 * n), z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return max(0.0, (middle - spread) / over), min(1.0, (middle + spread) / over)
+
+
+def tally(key: dict, reviews: list[dict]) -> tuple[dict[str, tuple[int, int]], dict[str, tuple[int, int]]]:
+    """Hits and marks by measure over all reviewers ({"reviewer", "results": {number: {"first", "second"}}}), and by section how often the first two agree."""
+    items = {r["number"]: r for r in key["items"]}
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+
+    def add(name: str, row: dict, hit: bool) -> None:
+        n = counts[name.format(**row)]
+        n[0] += hit
+        n[1] += 1
+
+    for review in reviews:
+        for number, given in review["results"].items():
+            row, first, second = items.get(number), given.get("first"), given.get("second")
+            if row is None or not first:
+                continue
+            for name, right in MEASURES[row["section"]]:
+                add(name, row, first in right if right else first == LINEAGE_ANSWER.get(row["classification"]))
+            if second and row["section"] in SECOND:
+                name, right = SECOND[row["section"]]
+                add(name, row, second in right)
+    agreed: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    if len(reviews) >= 2:
+        a, b = reviews[0]["results"], reviews[1]["results"]
+        for number in a.keys() & b.keys() & items.keys():
+            if a[number].get("first") and b[number].get("first"):
+                n = agreed[items[number]["section"]]
+                n[0] += a[number]["first"] == b[number]["first"]
+                n[1] += 1
+    return {k: tuple(v) for k, v in counts.items()}, {k: tuple(v) for k, v in agreed.items()}
+
+
+def scores(key: dict, reviews: list[dict]) -> str:
+    """The tally as Markdown with 95 % intervals."""
+    counts, agreed = tally(key, reviews)
+    line = lambda name, n: f"| {name} | {n[0]}/{n[1]} | {bounds(*n)[0]:.2f}-{bounds(*n)[1]:.2f} |"
+    out = ["| Measure | Hits | 95 % |", "|---|---|---|", *(line(k, counts[k]) for k in sorted(counts))]
+    if agreed:
+        out += ["", f"Agreement of {reviews[0]['reviewer']} and {reviews[1]['reviewer']}:", "", *(f"- {k}: {v[0]}/{v[1]}" for k, v in sorted(agreed.items()))]
+    return "\n".join(out) + "\n"
+
+
 def record(c: Corpus, path: str, edge_id: str, reviewer: str, decision: str, note: str = "") -> str:
     """Append one decision. KeyError for an unknown edge, ValueError for an unknown decision."""
     if decision not in DECISIONS:

@@ -323,3 +323,82 @@ def test_growing_streams_agree_with_the_batch(spark, tmp_path):
 def test_constants():
     assert LINE.count(URL) == 1 and revision(1, "w~x", 1, "a", "b")["lines"] == 1
     assert references.NAME_CHARS == 8
+
+
+def test_review_pack_and_scores(log, tmp_path):
+    key = review.write_pack(log, str(tmp_path))
+    assert [k["number"] for k in key][:2] == ["R001", "R002"] and {k["section"] for k in key} >= {"edges", "extractions", "lineage", "questions"}
+    page = (tmp_path / "review_pack.html").read_text()
+    assert "innerHTML" not in page and page.count("</script>") == 2 and "temporal_status" not in page and '"classification"' not in page
+    assert any("temporal_status" in k for k in json.loads((tmp_path / "review_key.json").read_text())["items"])
+    assert key == review.write_pack(log, str(tmp_path))
+    edge, line = (next(k["number"] for k in key if k["section"] == s) for s in ("edges", "lineage"))
+    right = review.LINEAGE_ANSWER[next(k for k in key if k["number"] == line)["classification"]]
+    marks = [{"reviewer": "A", "results": {edge: {"first": "accept", "second": "none"}, line: {"first": right}}}, {"reviewer": "B", "results": {edge: {"first": "uncertain"}, line: {"first": right}, "R999": {"first": "x"}}}]
+    counts, agreed = review.tally({"items": key}, marks)
+    assert counts["same_content (all)"] == (1, 2) and counts["same_content: uncertain"] == (1, 2) and counts["same_content: text shows a handoff"] == (0, 1) and counts["lineage (all)"] == (2, 2)
+    assert agreed == {"edges": (0, 1), "lineage": (1, 1)} and "1/2" in review.scores({"items": key}, marks)
+    lo, hi = review.bounds(9, 10)
+    assert 0.55 < lo < 0.60 and 0.97 < hi < 0.99 and review.bounds(0, 0) == (0.0, 0.0)
+
+
+def test_fetch(tmp_path):
+    import gzip
+    import threading
+    import zipfile
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from palimp.sources import fetch
+
+    data = gzip.compress(b"line\n" * 5000)
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = int(self.headers.get("Range", "bytes=0-")[6:-1])
+            self.send_response(416 if at >= len(data) else 206 if at else 200)
+            self.end_headers()
+            self.wfile.write(data[at:])
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x/events.jsonl.gz"
+    for have in (0, 10, len(data)):
+        (tmp_path / "events.jsonl.gz.part").write_bytes(data[:have])
+        (path,) = fetch.fetch("test", [url], tmp_path)
+        assert path.read_bytes() == data
+    assert len(list(tmp_path.glob("SNAPSHOT*.json"))) >= 1
+    entry = json.loads((tmp_path / "SNAPSHOT.json").read_text())["files"][0]
+    assert entry["unpacked_bytes"] == 25000 and fetch.described(path, url, {"events.jsonl": "0"})["matches_expected"] is False
+    assert fetch.fetch("test", [url], tmp_path / "none", dry_run=True) and not (tmp_path / "none").exists()
+    with pytest.raises(ValueError):
+        fetch.unpacked_digest(path, 100)
+    server.shutdown()
+
+    def archive(**members):
+        with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+            for k, v in members.items():
+                z.writestr(k, v)
+        return tmp_path / "a.zip"
+
+    assert [p.name for p in fetch.unzip(archive(**{"p/all.csv": b"1", "p/other.csv": b"2"}), tmp_path / "z", ["all*"], 100)] == ["all.csv"]
+    for evil in ("../e.csv", "/abs/e.csv", "C:/e.csv", "p/../../e.csv"):
+        with pytest.raises(ValueError, match="unsafe"):
+            fetch.unzip(archive(**{evil: b"x"}), tmp_path / "z", ["*"], 100)
+    with pytest.raises(ValueError, match="limit"):
+        fetch.unzip(archive(big=b"0" * 500), tmp_path / "z", ["*"], 100)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimp.__main__ import main
+
+    raw, built = tmp_path / "raw", tmp_path / "built"
+    raw.mkdir()
+    revs, more = board()
+    write_wiki(raw, revs, more_events=more)
+    common = ["--raw", str(raw), "--built", str(built)]
+    assert main(["build", *common]) == 0 and main(["gates", *common]) == 0
+    assert "FAIL" not in capsys.readouterr().out
+    assert main(["export", *common, "--out", str(tmp_path / "out")]) == 0 and (tmp_path / "out" / "burst.csv").exists()
