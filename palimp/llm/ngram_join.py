@@ -115,16 +115,18 @@ def linked(a: dict, b: dict, band: int, same: bool, looks: list[tuple[int, int]]
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of edges (a, b), by alternating large-star and small-star steps.
 
-    Every step is written to the shared folder; a hub is joined with its least neighbour, never gathered.
+    Every step is written to the shared folder; a hub is joined with its least neighbour, never gathered. The least neighbours
+    are written too, so that both sides of the join are plain exchanges, whose hubs Spark's skew join splits.
     """
     spark = edges.sparkSession
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     before = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large, "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         now = stored(small, "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
