@@ -50,10 +50,19 @@ def label_integrity(c: Corpus) -> tuple[str, bool, str]:
     return _gate("ids are namespaced, labels unmerged, unknown authors stay unknown", zero, {"unknown": sum(count(t.where("actor_label_id is null")) for t in (c.event, c.text_item))})
 
 
+#: Sequence numbers of a bucket, in which events are put in order by one task.
+BUCKET = 1_000_000
+
+
 def inversions(event: DataFrame) -> DataFrame:
-    """Events whose time is before that of the event before them in sequence."""
-    order = Window.orderBy("event_index")  # ids and times alone; sorted by one task, so for reports only
-    return event.where("event_index is not null").select("event_id", "event_index", "time_ts", F.lag("time_ts").over(order).alias("before")).where("before > time_ts")
+    """Events whose time is before that of the event before them in sequence. Buckets of the sequence are ordered each for itself; the first of a bucket looks at the last of the one before."""
+    rows = event.where("event_index is not null").select("event_id", "event_index", "time_ts", F.floor(F.col("event_index") / BUCKET).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("event_index")
+    inside = rows.withColumn("n", F.row_number().over(order)).withColumn("inside", F.lag("time_ts").over(order))
+    last = rows.groupBy("bucket").agg(F.max_by("time_ts", "event_index").alias("last"))
+    ends = last.select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("end"))  # a row for each bucket
+    before = F.when(F.col("n") == 1, F.col("end")).otherwise(F.col("inside"))
+    return inside.join(ends, "bucket").withColumn("before", before).where("before > time_ts").select("event_id", "event_index", "time_ts", "before")
 
 
 def sequence_gaps(event: DataFrame) -> DataFrame:

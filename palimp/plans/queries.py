@@ -268,7 +268,7 @@ def case_earliest(spark, sf):
 
 @query(f"WITH {NEW} SELECT artifact_id, label, count(*) AS n FROM new GROUP BY ALL")
 def case_introducers(spark, sf):
-    return cases.introducers(built(spark, sf)).drop("first_pos")
+    return cases.introducers(built(spark, sf))
 
 
 @query(f"""WITH {NEW}, f AS (SELECT artifact_id, label, min(k) AS k, min(ts) AS ts FROM new GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY k) AS rank, count(*) OVER (PARTITION BY artifact_id) AS labels, min(ts) OVER (PARTITION BY artifact_id) AS t0 FROM f)

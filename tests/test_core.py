@@ -402,3 +402,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["build", *common]) == 0 and main(["gates", *common]) == 0
     assert "FAIL" not in capsys.readouterr().out
     assert main(["export", *common, "--out", str(tmp_path / "out")]) == 0 and (tmp_path / "out" / "burst.csv").exists()
+
+
+def test_inversions_across_buckets(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(gates, "BUCKET", 4)
+    r = random.Random(3)
+    rows = [(f"e{k}", k, datetime(2024, 1, 1) + timedelta(minutes=r.randint(0, 30))) for k in sorted(r.sample(range(60), 35))]
+    got = {x.event_id for x in gates.inversions(spark.createDataFrame(rows, "event_id string, event_index long, time_ts timestamp_ntz")).collect()}
+    assert got == {b[0] for a, b in zip(rows, rows[1:]) if a[2] > b[2]}
