@@ -19,9 +19,9 @@ SAMPLE = 20_000
 #: Most coarse centroids; codes are a byte for each DIMS_PER_CODE dimensions.
 MOST_LISTS, DIMS_PER_CODE = 1024, 4
 #: Share of the lists that a query probes, and candidates that are reranked exactly.
-PROBED, RERANKED = 0.4, 256
-#: Rows of a list and queries that one task holds.
-LIST_ROWS, QUERY_ROWS = 20_000, 2_000
+PROBED, RERANKED = 0.7, 256
+#: A list is cut into pieces of about twice the mean list, so a list with a third of all rows is many tasks; bounds of a piece, and queries that one task holds.
+LEAST_PIECE, MOST_PIECE, QUERY_ROWS = 400, 1_000_000, 2_000
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = 12, seed: int = 7) -> np.ndarray:
@@ -123,7 +123,8 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str =
 
     coded = stored(rows.mapInArrow(encode, "list int, id long, code binary"), "codes")
     counts = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
-    pieces = F.array(*(F.lit(-(-counts.get(n, 0) // LIST_ROWS)) for n in range(n_lists)))
+    piece_rows = min(MOST_PIECE, max(LEAST_PIECE, 2 * total // n_lists))
+    pieces = F.array(*(F.lit(-(-counts.get(n, 0) // piece_rows)) for n in range(n_lists)))
     queries = rows.where(F.col("id") % every == 0)
     n_queries = queries.count()
     query_pieces = max(1, -(-int(n_queries * n_probes / n_lists) // QUERY_ROWS))
