@@ -23,7 +23,7 @@ from palimp.llm.common import bound_batches, release_shuffles, stored
 
 GRAM = 24
 #: Most documents and bytes that are worked on together, bytes of them at a time, and anchors that one task of a pass should hold.
-BATCH_DOCS, BATCH_BYTES, CHUNK_BYTES, BUCKET_ANCHORS = 512, 1 << 21, 1 << 19, 1 << 19
+BATCH_DOCS, BATCH_BYTES, CHUNK_BYTES, BUCKET_ANCHORS = 512, 3 << 17, 1 << 18, 1 << 19
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
     whole and removes nothing; rows of the same id don't remove one another. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    bound_batches(spark, 16)  # batches of documents are rows too
+    bound_batches(spark)
     if not 2 * GRAM <= span <= 62 + GRAM:
         raise ValueError(f"spans have {2 * GRAM} to {62 + GRAM} bytes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
