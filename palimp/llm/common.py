@@ -10,16 +10,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: with documents of 100 kB each, a batch still is about 25 MB.
-BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+
+
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    """The folder that driver and executors share: the one the cluster names, else the context's checkpoint folder; one of our own only where there is neither (tests)."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="palimp-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="palimp-")
+        _own[context.applicationId] = named
     return named.rstrip("/")
 
 
@@ -35,6 +39,7 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small enough for very long documents."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -255,7 +255,7 @@ def test_repeats(spark, monkeypatch, per_bucket):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 50)
+    monkeypatch.setattr(ann, "MOST_PIECE", 50)
     monkeypatch.setattr(ann, "QUERY_ROWS", 1)
     g = np.random.default_rng(1)
     x = (g.normal(size=(30, 16))[g.integers(0, 30, 900)] + 0.4 * g.normal(size=(900, 16))).astype(np.float32)
