@@ -10,37 +10,37 @@ WORD, NOT_WORD = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
 SPACE, NOT_SPACE = r"(?U:[\s\x1c-\x1f])", r"(?U:[^\s\x1c-\x1f])"
 SPACE_IN_LINE = r"(?U:[\s\x1c-\x1f&&[^\n]])"
 
-_SPANS = "array<struct<start:int,end:int,raw:string>>"
+_SPANS = "array<struct<start:int,end:int,raw:string,line:int>>"
+_MARK = "\x01"
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """Gap, match, gap, ..., gap. The pattern runs once: matches are marked and the text is cut at the marks; texts that hold the mark themselves take the longer way."""
+    marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    apart = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.array(gap, m))
+    return F.when(F.contains(text, F.lit(_MARK)), F.filter(F.flatten(apart), lambda x: x.isNotNull())).otherwise(marked)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """start, end and raw of all matches, left to right; positions are sums of the lengths of gaps and matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("raw")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    """start, end, raw and line (its number from 0) of all matches, left to right; positions and lines are sums over gaps and matches, so a text is read once whatever it holds."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(False).alias("match"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + F.length(p["raw"])
-        return F.when(p["raw"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["raw"].alias("raw"))).alias("out")))
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        line = acc["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("raw"), acc["line"].alias("line"))
+        return F.struct(end.alias("at"), line.alias("line"), (~acc["match"]).alias("match"), F.when(acc["match"], F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(_SPANS))
+    return F.aggregate(_cut(text, pattern), zero, step)["out"]
 
 
 def blanked(text: Column, pattern: str) -> Column:
     """Every match replaced by as many spaces, so that spans stay valid."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.concat(gap, F.coalesce(F.repeat(F.lit(" "), F.length(m)), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
-
-
-def line_number(text: Column, start: Column) -> Column:
-    """The number from 0 of the line that holds a place."""
-    before = F.substring(text, F.lit(1), start)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.array_join(F.transform(_cut(text, pattern), lambda part, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(part))).otherwise(part)), "")
 
 
 def line_of(text: Column, number: Column) -> Column:
+    """A line by its number. Splits the text for each row, so for few rows of a text only."""
     return F.get(F.split(text, "\n", -1), number)
 
 

@@ -8,18 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimp.functions.patterns import each, line_number, spans
+from palimp.functions.patterns import each, spans
 from palimp.model import NOVEL
 
 VERSION = "artifacts-1"
 #: The patterns of the three types, and hosts that nobody else can reach.
 URL = r"""https?://[^\s\x1c-\x1f\x85\p{Z}<>"'`)\]}|*]+"""
-HEX = r"(?<![0-9a-fA-F-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}(?![0-9a-fA-F-])"
+HEX = r"(?=[0-9a-f])(?<![0-9a-fA-F-])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}(?![0-9a-fA-F-])"
 REPO = r"(?<![\p{L}\p{N}_/.-])[A-Za-z0-9][\p{L}\p{N}_.-]{0,38}/[A-Za-z0-9][\p{L}\p{N}_.-]{0,99}#\p{Nd}{1,7}(?![\p{L}\p{N}_])"
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "[::1]")
 TYPES = ("url", "repo_ref", "hex_id")
-_URLS = "array<struct<start:int,end:int,raw:string,normalized:string>>"
-_HITS = "array<struct<type:string,start:int,end:int,raw:string,normalized:string>>"
+_URLS = "array<struct<start:int,end:int,raw:string,normalized:string,line:int>>"
+_HITS = "array<struct<type:string,start:int,end:int,raw:string,normalized:string,line:int>>"
 
 
 def normalized_url(raw: Column) -> Column:
@@ -47,12 +47,12 @@ def hits(items: DataFrame) -> DataFrame:
     """
     rows = items.where("not coalesce(generated, false)")
     text = F.col("text")
-    url = F.transform(spans(text, URL), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["raw"], r"[.,;:!?]+$", "").alias("raw")))
-    url = F.transform(url, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["raw"])).alias("end"), m["raw"].alias("raw"), normalized_url(m["raw"]).alias("normalized")))
+    url = F.transform(spans(text, URL), lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["raw"], r"[.,;:!?]+$", "").alias("raw"), m["line"].alias("line")))
+    url = F.transform(url, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["raw"])).alias("end"), m["raw"].alias("raw"), normalized_url(m["raw"]).alias("normalized"), m["line"].alias("line")))
     kept = F.filter(url, lambda m: m["normalized"].isNotNull())
-    found = rows.select("item_id", "text", F.when(text.contains("http"), kept).otherwise(F.array().cast(_URLS)).alias("url"), F.when(text.contains("#"), spans(text, REPO)).alias("repo"), spans(text, HEX).alias("hex"))
+    found = rows.select("item_id", F.when(text.contains("http"), kept).otherwise(F.array().cast(_URLS)).alias("url"), F.when(text.contains("#"), spans(text, REPO)).alias("repo"), spans(text, HEX).alias("hex"))
     outside = lambda m: ~F.exists("url", lambda u: (m["start"] >= u["start"]) & (m["end"] <= u["end"]))
-    one = lambda kind, m, n: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), n.alias("normalized"))
+    one = lambda kind, m, n: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), n.alias("normalized"), m["line"].alias("line"))
     lowered = lambda raw: F.concat(F.lower(F.substring_index(raw, "#", 1)), F.lit("#"), F.substring_index(raw, "#", -1))
     none = F.array().cast(_HITS)
     every = F.concat(
@@ -60,8 +60,8 @@ def hits(items: DataFrame) -> DataFrame:
         F.coalesce(F.transform(F.filter("repo", outside), lambda m: one("repo_ref", m, lowered(m["raw"]))), none),
         F.transform(F.filter("hex", outside), lambda m: one("hex_id", m, m["raw"])),
     )
-    out = each(found.select("item_id", "text", every.alias("h")), F.col("h"), "h", "item_id", "text")
-    return out.select("item_id", F.col("h.type").alias("artifact_type"), F.col("h.raw").alias("raw"), F.col("h.normalized").alias("normalized"), F.col("h.start").alias("span_start"), F.col("h.end").alias("span_end"), line_number(F.col("text"), F.col("h.start")).alias("line_no"))
+    out = each(found.select("item_id", every.alias("h")), F.col("h"), "h", "item_id")
+    return out.select("item_id", F.col("h.type").alias("artifact_type"), F.col("h.raw").alias("raw"), F.col("h.normalized").alias("normalized"), F.col("h.start").alias("span_start"), F.col("h.end").alias("span_end"), F.col("h.line").alias("line_no"))
 
 
 def occurrences(items: DataFrame, text_change: DataFrame) -> DataFrame:

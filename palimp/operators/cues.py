@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.functions.patterns import NOT_SPACE, SPACE_IN_LINE, WORD, blanked, each, line_number, line_of, snippet, spans
+from palimp.functions.patterns import NOT_SPACE, SPACE_IN_LINE, WORD, blanked, each, line_of, snippet, spans
 from palimp.model import topic_of
 
 VERSION = "cues-1"
@@ -44,16 +44,17 @@ def pattern(terms: list[str]) -> str:
         return body + (WORD + "*" if term.endswith("*") else "")
 
     every = "|".join(one(t) for t in sorted(terms, key=len, reverse=True))
-    return f"(?iu)(?<!{WORD})(?:{every})(?!{WORD})"
+    first = "".join(rf"\x{{{ord(t[0]):x}}}" for t in terms)  # most places fail on their first character, before the look behind
+    return f"(?iu)(?=[{first}])(?<!{WORD})(?:{every})(?!{WORD})"
 
 
 def cues_in(text: Column, lexicon: dict) -> Column:
-    """category, term, start, end of all cues in a text; addresses never match."""
+    """category, term, start, end, line of all cues in a text; addresses never match."""
     masked = blanked(text, ADDRESS)
 
     def of(name: str, terms: list[str]) -> Column:
         term = lambda m: F.regexp_replace(F.lower(m["raw"]), SPACE_IN_LINE + "+", " ")
-        return F.transform(spans(masked, pattern(terms)), lambda m: F.struct(F.lit(name).alias("category"), term(m).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
+        return F.transform(spans(masked, pattern(terms)), lambda m: F.struct(F.lit(name).alias("category"), term(m).alias("term"), m["start"].alias("start"), m["end"].alias("end"), m["line"].alias("line")))
 
     return F.concat(*(of(name, spec["terms"]) for name, spec in lexicon["categories"].items()))
 
@@ -61,8 +62,9 @@ def cues_in(text: Column, lexicon: dict) -> Column:
 def cue_hits(items: DataFrame, text_change: DataFrame, lexicon: dict = LEXICON) -> DataFrame:
     """item_id, line_no, category, term, span_start, span_end, detector_version on lines of three characters or more: all of standalone items, the new ones of versions."""
     rows = items.where("not coalesce(generated, false)")
-    found = each(rows.select("item_id", "stream_key", "text", cues_in(F.col("text"), lexicon).alias("c")), F.col("c"), "c", "item_id", "stream_key", "text")
-    found = found.withColumn("line_no", line_number(F.col("text"), F.col("c.start"))).where(F.length(line_of(F.col("text"), F.col("line_no"))) >= 3)
+    # A cue of three characters makes its line long enough; only shorter ones have to look at it.
+    short = F.filter(cues_in(F.col("text"), lexicon), lambda c: (c["end"] - c["start"] >= 3) | (F.length(line_of(F.col("text"), c["line"])) >= 3))
+    found = each(rows.select("item_id", "stream_key", short.alias("c")), F.col("c"), "c", "item_id", "stream_key").withColumn("line_no", F.col("c.line"))
     new = text_change.where(F.col("classification").isin(*NEW_LINES)).select("item_id", "line_no", F.lit(True).alias("new"))
     found = found.join(new, ["item_id", "line_no"], "left").where("stream_key is null or new")
     return found.select("item_id", "line_no", "c.category", "c.term", F.col("c.start").alias("span_start"), F.col("c.end").alias("span_end"), F.lit(f"{VERSION}/{lexicon['meta']['version']}").alias("detector_version"))

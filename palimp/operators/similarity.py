@@ -39,15 +39,22 @@ def shingle_frequency(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     return shingle_rows(texts, n).groupBy("shingle").agg(F.count("*").alias("df"))
 
 
-def jaccard_pairs(texts: DataFrame, least: float, n: int = SHINGLE, most_df: int | None = None) -> DataFrame:
-    """unit_a < unit_b, common, jaccard of pairs with at least that similarity. A shingle of more than most_df texts finds no pair but counts in the similarity."""
+def jaccard_pairs(texts: DataFrame, least: float, n: int = SHINGLE) -> DataFrame:
+    """unit_a < unit_b, common, jaccard of all pairs with at least that similarity (above 0).
+
+    Exact by prefixes: with each unit's shingles from rare to common, two such units share one among their first
+    size - ceil(least * size) + 1, so common shingles make no candidates; sizes must fit too.
+    """
     rows = shingle_rows(texts, n)
-    sizes = rows.groupBy("unit").agg(F.count("*").alias("size"))
-    seek = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= most_df if most_df else F.lit(True))), "shingle")
-    pairs = seek.select("shingle", F.col("unit").alias("unit_a")).join(seek.select("shingle", F.col("unit").alias("unit_b")), "shingle").where("unit_a < unit_b").select("unit_a", "unit_b").distinct()
-    common = pairs.join(rows.select(F.col("unit").alias("unit_a"), "shingle"), "unit_a").join(rows.select(F.col("unit").alias("unit_b"), "shingle"), ["unit_b", "shingle"]).groupBy("unit_a", "unit_b").agg(F.count("*").alias("common"))
-    out = common.join(sizes.select(F.col("unit").alias("unit_a"), F.col("size").alias("size_a")), "unit_a").join(sizes.select(F.col("unit").alias("unit_b"), F.col("size").alias("size_b")), "unit_b")
-    return out.withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).where(F.col("jaccard") >= least).select("unit_a", "unit_b", "common", "jaccard")
+    ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    by_unit = Window.partitionBy("unit")  # the shingles of one text
+    ranked = ranked.withColumn("size", F.count("*").over(by_unit)).withColumn("rank", F.row_number().over(by_unit.orderBy("df", "shingle")))
+    prefix = ranked.where((F.col("df") > 1) & (F.col("rank") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1))
+    side = lambda k: prefix.select("shingle", F.col("unit").alias(f"unit_{k}"), F.col("size").alias(f"size_{k}"))
+    pairs = side("a").join(side("b"), "shingle").where("unit_a < unit_b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9).select("unit_a", "unit_b", "size_a", "size_b").distinct()
+    common = pairs.join(rows.select(F.col("unit").alias("unit_a"), "shingle"), "unit_a").join(rows.select(F.col("unit").alias("unit_b"), "shingle"), ["unit_b", "shingle"]).groupBy("unit_a", "unit_b", "size_a", "size_b").agg(F.count("*").alias("common"))
+    out = common.withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
+    return out.where(F.col("jaccard") >= least - 1e-12).select("unit_a", "unit_b", "common", "jaccard")
 
 
 def seeds(items: DataFrame, appearance: DataFrame, artifact: str) -> DataFrame:

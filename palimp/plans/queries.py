@@ -163,17 +163,49 @@ def edges_skipped(spark, sf):
     return edges.skipped(built(spark, sf)["artifact_counts"])
 
 
+def hosts(spark: SparkSession, sf: str) -> Corpus:
+    """The driver's corpus with the hosts of addresses as its artifacts: unlike whole addresses, labels share them."""
+    c = built(spark, sf)
+    url = F.concat(F.lit("https://"), reports.host_of(F.col("normalized")), F.lit("/"))
+    found = c["occurrence"].where("artifact_type = 'url'").withColumn("normalized", url).withColumn("artifact_id", artifacts.artifact_id(F.col("artifact_type"), url))
+    c.derived |= {"occurrence": found, "appearance": artifacts.appearance(found), "artifact": artifacts.artifact(found), "artifact_counts": artifacts.artifact_counts(found)}
+    c.derived["evidence_edge"] = edges.same_content(c["appearance"], c.event, c["artifact"], c["artifact_counts"])
+    return c
+
+
+HOSTS = HITS.replace("found AS (", "url_found AS (").replace("FROM found GROUP BY", "FROM url_found GROUP BY").replace("counts AS (", "url_counts AS (") + """,
+found AS (SELECT * REPLACE ('art:url:' || substr(sha1('https://' || regexp_extract(norm, '^https?://([^/:?#]+)', 1) || '/'), 1, 16) AS artifact_id) FROM url_found WHERE type = 'url'),
+counts AS (SELECT artifact_id, count(DISTINCT item_id) AS novel_items FROM found GROUP BY 1)"""
+HOST_EDGES = HOSTS + EDGES[len(HITS):]
+
+
+@query(f"WITH {HOST_EDGES} SELECT * FROM edge")
+def host_edges(spark, sf):
+    return hosts(spark, sf)["evidence_edge"].select("edge_id", "src_item_id", "dst_item_id", "artifact_id", "temporal_status")
+
+
+@query(f"""WITH {HOSTS}, new AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY ts NULLS LAST, item_id) AS k FROM found), f AS (SELECT artifact_id, label, min(k) AS k, min(ts) AS ts FROM new GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY k) AS rank, count(*) OVER (PARTITION BY artifact_id) AS labels, min(ts) OVER (PARTITION BY artifact_id) AS t0 FROM f)
+SELECT artifact_id, label AS actor_label_id, rank::INTEGER AS rank, date_diff('second', t0, ts) AS seconds FROM g WHERE labels >= 2""")
+def host_spread(spark, sf):
+    return cases.spread(hosts(spark, sf)).drop("item_id")
+
+
+@query()
+def host_cases(spark, sf):
+    return cases.pick(hosts(spark, sf))
+
+
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)), f AS (SELECT shingle, count(*) AS df FROM s GROUP BY 1) SELECT df, count(*) AS shingles FROM f GROUP BY 1""")
 def shingle_frequency(spark, sf):
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), "text")
     return similarity.shingle_frequency(texts).groupBy("df").agg(F.count("*").alias("shingles"))
 
 
-@query(r"""WITH w AS (SELECT conv_id || '#' || turn AS unit, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM conversations), s AS (SELECT DISTINCT unit, array_to_string(w[k:k+4], ' ') AS shingle FROM (SELECT unit, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)), n AS (SELECT unit, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.unit AS unit_a, b.unit AS unit_b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.unit < b.unit GROUP BY ALL) SELECT unit_a, unit_b, common, round(common * 1.0 / (x.n + y.n - common), 9) AS jaccard FROM p JOIN n x ON x.unit = unit_a JOIN n y ON y.unit = unit_b WHERE common * 1.0 / (x.n + y.n - common) >= 0.3""")
+@query(r"""WITH w AS (SELECT doc_id AS unit, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (SELECT DISTINCT unit, array_to_string(w[k:k+4], ' ') AS shingle FROM (SELECT unit, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)), n AS (SELECT unit, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.unit AS unit_a, b.unit AS unit_b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.unit < b.unit GROUP BY ALL) SELECT unit_a, unit_b, common, round(common * 1.0 / (x.n + y.n - common), 9) AS jaccard FROM p JOIN n x ON x.unit = unit_a JOIN n y ON y.unit = unit_b WHERE common * 1.0 / (x.n + y.n - common) >= 0.8""")
 def jaccard_pairs(spark, sf):
-    texts = table(spark, sf, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("unit"), "text")
-    return similarity.jaccard_pairs(texts, 0.3).withColumn("jaccard", F.round("jaccard", 9))
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), "text")
+    return similarity.jaccard_pairs(texts, 0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(f"WITH {CUES} SELECT item_id, line_no, category, term, count(*) AS n FROM cues GROUP BY ALL")
@@ -232,6 +264,16 @@ def mutual_exchange(spark, sf):
     return references.exchanges(items, refs).drop("detector_version")
 
 
+@query(HITS.join(["WITH ", r""", names AS (SELECT DISTINCT norm AS name FROM found WHERE type = 'hex_id' AND length(norm) >= 8), tokens AS (SELECT item_id, line_no, unnest(regexp_extract_all(raw, '[\p{L}\p{N}_-]+')) AS token FROM new_lines WHERE length(raw) >= 8)
+SELECT item_id, line_no, token AS target_text, 'label:' || token AS target_id FROM tokens JOIN names ON name = token"""]))
+def label_mentions(spark, sf):
+    """Identifiers stand for labels here, as no text of the driver's tables names one."""
+    c = built(spark, sf)
+    names = c["artifact"].where("artifact_type = 'hex_id'").select(F.concat(F.lit("label:"), "normalized").alias("label_id"), F.col("normalized").alias("display_name"))
+    refs = references.references(c.text_item, c["text_change"], names).where("ref_type = 'label_mention'")
+    return refs.select("item_id", F.col("line_no").cast("long").alias("line_no"), "target_text", "target_id")
+
+
 @query()
 def references_found(spark, sf):
     c = built(spark, sf)
@@ -343,9 +385,10 @@ def sequence_gaps(spark, sf):
     return gates.sequence_gaps(from_tables(spark, sf).event.where("kind = 'click'"))
 
 
-@query("WITH p AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS before FROM events) SELECT event_id AS event_index, ts AS time_ts, before FROM p WHERE before > ts")
+@query("WITH p AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS ts, lag(o_orderdate::TIMESTAMP) OVER (ORDER BY o_orderkey) AS before FROM orders) SELECT o_orderkey AS event_index, ts AS time_ts, before FROM p WHERE before > ts")
 def time_inversions(spark, sf):
-    return gates.inversions(from_tables(spark, sf).event).select("event_index", "time_ts", "before")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"), F.col("o_orderkey").alias("event_index"), F.col("o_orderdate").cast("timestamp_ntz").alias("time_ts"))
+    return gates.inversions(orders).select("event_index", "time_ts", "before")
 
 
 @query("SELECT s_suppkey, 'name' AS attribute, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier")

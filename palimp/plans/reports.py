@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.functions.patterns import each, line_of, snippet
+from palimp.functions.patterns import each, snippet
 from palimp.model import NOVEL, topic_of
 from palimp.operators.cues import ADDRESS
 
@@ -74,8 +74,9 @@ def topic_summary(items: DataFrame, hits: DataFrame, refs: DataFrame, exchange:
 def answer_events(items: DataFrame, hits: DataFrame, meta: DataFrame) -> DataFrame:
     """topic, number (without separators), raw, item_id, actor_label_id, stream_key, time_ts for each number on a line with an answer cue; years and very large numbers are left out."""
     on = hits.where("category = 'answer_sharing'").select("item_id", "line_no").distinct()
-    rows = on.join(topic_of(items.select("item_id", "actor_label_id", "stream_key", "time_ts", "text"), meta), "item_id")
-    line = F.regexp_replace(line_of(F.col("text"), F.col("line_no")), ADDRESS, " ")
+    texts = items.join(on.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = on.join(texts, ["item_id", "line_no"]).join(topic_of(items.select("item_id", "actor_label_id", "stream_key", "time_ts"), meta), "item_id")
+    line = F.regexp_replace("line", ADDRESS, " ")
     keep = ("topic", "item_id", "actor_label_id", "stream_key", "time_ts", "line_no")
     found = each(rows.withColumn("found", F.regexp_extract_all(line, F.lit(NUMBER), F.lit(0))), F.col("found"), "raw", *keep)
     found = found.withColumn("number", F.regexp_replace(F.replace("raw", F.lit(","), F.lit("")), "%+$", ""))
