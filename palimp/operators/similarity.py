@@ -43,9 +43,9 @@ def jaccard_pairs(texts: DataFrame, least: float, n: int = SHINGLE) -> DataFrame
     """unit_a < unit_b, common, jaccard of all pairs with at least that similarity (above 0).
 
     Exact by prefixes: with each unit's shingles from rare to common, two such units share one among their first
-    size - ceil(least * size) + 1, so common shingles make no candidates; sizes must fit too.
+    size - ceil(least * size) + 1, so common shingles make no candidates; sizes must fit too. Shingles go by 64-bit hashes.
     """
-    rows = shingle_rows(texts, n)
+    rows = shingle_rows(texts, n).select("unit", F.xxhash64("shingle").alias("shingle"))
     ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
     by_unit = Window.partitionBy("unit")  # the shingles of one text
     ranked = ranked.withColumn("size", F.count("*").over(by_unit)).withColumn("rank", F.row_number().over(by_unit.orderBy("df", "shingle")))
