@@ -1,7 +1,8 @@
-"""Benchmark decontamination: windows over canonical templates, joined by hash, with a check that slots change consistently.
+"""Benchmark decontamination: windows over canonical templates and over plain words, joined by hash, with a check that slots change consistently.
 
 Columns and functions of Spark only. Numbers, names and units become typed placeholders, so a question with other numbers
-has the same windows; the values in the slots must then map one to one.
+has the same windows; the values in the slots must then map one to one. Names hang on casing, so windows of plain
+lower-cased words stand beside the canonical ones: a verbatim copy matches in any casing and layout.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
 #: Words that are units after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz l ml s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years mile miles meter meters metre metres foot feet inch inches dollar dollars cent cents euro euros percent degrees gallon gallons liter liters".split()
 _NUMBER, _UNIT, _NAME = "#number", "#unit", "#name"
+#: Forms of a window, as bits: a window without slots has the same hash in both.
+_CANONICAL, _PLAIN = 1, 2
+_CODES = "array<struct<hash:bigint,plain:bigint>>"
 
 
 def _tokens(text: Column) -> Column:
@@ -31,9 +35,9 @@ def _kind(tokens: Column, t: Column, i: Column) -> Column:
 
 
 def _codes(tokens: Column) -> Column:
-    """A hash for each word, the same for all values of a placeholder; sentence marks are left out."""
+    """Two hashes for each word: hash is the same for all values of a placeholder, plain is the lower-cased word's; sentence marks are left out."""
     mark = F.xxhash64(F.lit(""))
-    return F.filter(F.transform(tokens, lambda t, i: F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t)))), lambda h: h != mark)
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t))).alias("hash"), F.xxhash64(F.lower(t)).alias("plain"))), lambda h: h["hash"] != mark)
 
 
 def _slots(tokens: Column) -> Column:
@@ -45,45 +49,56 @@ def _slots(tokens: Column) -> Column:
 def _doubled(codes: Column, width: int) -> Column:
     """Hashes of windows of 2 * width words from those of width words."""
     n = F.size(codes) - width
-    return F.when(n > 0, F.zip_with(F.slice(codes, 1, F.greatest(n, F.lit(1))), F.slice(codes, width + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    both = lambda a, b: F.struct(F.xxhash64(a["hash"], b["hash"]).alias("hash"), F.xxhash64(a["plain"], b["plain"]).alias("plain"))
+    return F.when(n > 0, F.zip_with(F.slice(codes, 1, F.greatest(n, F.lit(1))), F.slice(codes, width + 1, F.greatest(n, F.lit(1))), both)).otherwise(F.array().cast(_CODES))
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """A row for each window: the columns of rows but tokens, at, hash."""
+    """A row for each window and form that differs: the columns of rows but tokens, at, hash, forms."""
     kept = [c for c in rows.columns if c != "tokens"]
     step = rows.select(*kept, _codes(F.col("tokens")).alias("c"))
     for width in (1, 2, 4):
         step = step.select(*kept, _doubled(F.col("c"), width).alias("c"))
     # The outer form, as Spark else repeats all of the above in a filter for non-empty arrays.
-    return step.select(*kept, F.posexplode_outer("c").alias("at", "hash")).where("hash is not null")
+    step = step.select(*kept, F.posexplode_outer("c").alias("at", "w")).where("w is not null")
+    form = lambda hash_, forms: F.struct(hash_.alias("hash"), F.lit(forms).alias("forms"))
+    apart = F.array(form(F.col("w.hash"), _CANONICAL), form(F.col("w.plain"), _PLAIN))
+    return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).otherwise(apart)).alias("w")).select(*kept, "at", "w.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document and benchmark item that it holds: id, item_id, n_words (the longest common run), n_slots, n_changed.
+    """One row per document and benchmark item that it holds: id, item_id, n_words (the longest run, of plain words where no canonical run holds), n_slots, n_changed.
 
     A match is LEAST_WORDS canonical words in a row (all words of a shorter item; items under WINDOW words match nothing), and
-    within it every item value of a slot stands for one document value and the other way round. n_changed counts slots
+    within it every item value of a slot stands for one document value and the other way round; or as many plain words in a
+    row, in any casing, that no longer canonical run holds at the same place (there its slots decide). n_changed counts slots
     with another value than the item's. The item side is a written table whose size Spark knows: it is broadcast under the
     session's limit and shuffled by hash beyond. A window shared by many documents is split by Spark's skew join.
     Null and empty texts match nothing; null ids form rows with a null id; repeated rows give one row; empty tables give none.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), _tokens(text_or_empty(item_text_col)).alias("tokens")).dropDuplicates()
     items = items.withColumn("size", F.size(_codes(F.col("tokens"))))
-    item_windows = stored(_windows(items).select("item", "size", F.col("at").alias("item_at"), "hash").coalesce(8), "benchmark-windows")
+    item_windows = stored(_windows(items).select("item", "size", F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms")).coalesce(8), "benchmark-windows")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text).alias("version"), _tokens(text).alias("tokens"))
-    hits = _windows(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = _windows(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.col("forms").bitwiseAND(F.col("item_forms")).alias("forms")).distinct()
     hits = stored(hits, "benchmark-hits")
+    hits = hits.withColumn("form", F.explode(F.array(F.lit(_CANONICAL), F.lit(_PLAIN)))).where(F.col("forms").bitwiseAND(F.col("form")) > 0).drop("forms").distinct()
     # Windows of a run follow one another: item_at less its rank is the same within a run.
-    run = Window.partitionBy("k", "version", "item", "size", "shift").orderBy("item_at")
-    runs = hits.withColumn("run", F.col("item_at") - F.row_number().over(run)).groupBy("k", "version", "item", "size", "shift", "run").agg(F.min("item_at").alias("first"), (F.max("item_at") + WINDOW).alias("past"))
+    run = Window.partitionBy("k", "version", "item", "size", "shift", "form").orderBy("item_at")
+    runs = hits.withColumn("run", F.col("item_at") - F.row_number().over(run)).groupBy("k", "version", "item", "size", "shift", "form", "run").agg(F.min("item_at").alias("first"), (F.max("item_at") + WINDOW).alias("past"))
     runs = stored(runs.withColumn("n_words", F.col("past") - F.col("first")).where(F.col("n_words") >= F.least(F.lit(LEAST_WORDS), F.col("size"))), "benchmark-runs")
+    around = runs.where(F.col("form") == _CANONICAL).select(*(F.col(c).alias(f"{c}_") for c in ("k", "version", "item", "size", "shift", "first", "past")))
+    inside = (F.col("form") == _PLAIN) & F.col("k").eqNullSafe(F.col("k_")) & (F.col("first") >= F.col("first_")) & (F.col("past") <= F.col("past_"))
+    for c in ("version", "item", "size", "shift"):
+        inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    runs = stored(runs.join(around, inside, "left_anti"), "benchmark-judged")
     item_slots = items.select("item", "size", F.explode(_slots(F.col("tokens"))).alias("s")).select("item", "size", F.col("s.word").alias("item_word"), F.col("s.value").alias("item_value"))
     wanted = stored(runs.join(item_slots, ["item", "size"]).where("item_word >= first and item_word < past").withColumn("word", F.col("item_word") + F.col("shift")), "benchmark-slots")
     with_slots = rows.join(wanted.select(F.col("k").alias("k2"), F.col("version").alias("v2")).distinct(), F.col("k").eqNullSafe(F.col("k2")) & (F.col("version") == F.col("v2")), "left_semi").dropDuplicates(["k", "version"])
     doc_slots = with_slots.select(F.col("k").alias("k2"), F.col("version").alias("v2"), F.explode(_slots(F.col("tokens"))).alias("s")).select("k2", "v2", F.col("s.word").alias("w2"), F.col("s.value").alias("value"))
     pairs = wanted.join(doc_slots, F.col("k").eqNullSafe(F.col("k2")) & (F.col("version") == F.col("v2")) & (F.col("word") == F.col("w2")))
-    key = ["k", "version", "item", "size", "shift", "run"]
+    key = ["k", "version", "item", "size", "shift", "form", "run"]
     slots = pairs.groupBy(*key).agg(
         F.count("*").alias("n_slots"),
         F.count_if(F.col("value") != F.col("item_value")).alias("n_changed"),
@@ -95,10 +110,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for c in key:
         same = same & runs[c].eqNullSafe(slots[c])
     judged = runs.join(slots, same, "left").where("n_slots is null or (mapped = values and mapped = item_values)")
-    return (
-        judged.groupBy(runs["k"].alias(id_col), runs["item"].alias("item_id"))
-        .agg(F.max("n_words").cast("long").alias("n_words"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).cast("long").alias("n_changed"))
-    )
+    judged = judged.select(runs["k"].alias("k"), runs["item"].alias("item"), runs["form"].alias("form"), "n_words", "n_slots", "n_changed")
+    # Least form first: plain runs give the figures only where no canonical run holds.
+    figures = F.struct("form", F.max("n_words").over(by := Window.partitionBy("k", "item", "form")).alias("n_words"), F.coalesce(F.max("n_slots").over(by), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed").over(by), F.lit(0)).alias("n_changed"))
+    best = judged.select("k", "item", figures.alias("best")).groupBy(F.col("k").alias(id_col), F.col("item").alias("item_id")).agg(F.min("best").alias("best"))
+    return best.select(id_col, "item_id", *(F.col(f"best.{c}").cast("long").alias(c) for c in ("n_words", "n_slots", "n_changed")))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -297,6 +297,15 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0 and decontam.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_casing(spark):
+    long, short = "The farmer in Dijon sold 12 boxes of plums and kept nine more for Claire and her two sons", "Why does Anna leave the old house at night"
+    bench = spark.createDataFrame([(0, long), (1, short)], "item_id long, text string")
+    texts = {0: long.upper(), 1: f"{words(1, 20)} {long.title()} {words(2, 20)}", 2: long.lower(), 3: f"as follows: {short}", 4: " ".join(long.split()[:12]).upper(), 5: f"as follows: {short[:-6]}", 6: long.replace(" and ", ".\nAnd ")}
+    got = {(g.doc_id, g.item_id): (g.n_words, g.n_changed) for g in decontam.decontaminate(docs(spark, texts.items()), bench).collect()}
+    assert got == {(0, 0): (19, 0), (1, 0): (19, 0), (2, 0): (19, 0), (3, 1): (9, 0), (6, 0): (19, 0)}
+    assert {d.doc_id for d in decontam.without_benchmark(docs(spark, texts.items()), bench).collect()} == {4, 5}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script></head><body class="page"><nav><ul><li><a href="/a">menu</a></li></ul></nav>
 <div class="ad">buy</div><div id="cookie-notice">we use cookies</div><div class="content c12"><h1>Head  &amp; line</h1><p>One<b> two</b>
 three&nbsp;four.<p>Un <a href=x>closed</a> <i>para<p>Last.<br>line<form><input><button>go</button>form</form></div>
