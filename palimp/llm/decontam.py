@@ -66,12 +66,12 @@ def _windows(rows: DataFrame) -> DataFrame:
     return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).otherwise(apart)).alias("w")).select(*kept, "at", "w.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: bool = False) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, n_words (the longest run, of plain words where no canonical run holds), n_slots, n_changed.
 
     A match is LEAST_WORDS canonical words in a row (all words of a shorter item; items under WINDOW words match nothing), and
     within it every item value of a slot stands for one document value and the other way round; or as many plain words in a
-    row, in any casing, that no longer canonical run holds at the same place (there its slots decide). n_changed counts slots
+    row, in any casing, that no longer canonical run holds at the same place (there its slots decide; with `within`, plain runs inside canonical ones hold too). n_changed counts slots
     with another value than the item's. The item side is a written table whose size Spark knows: it is broadcast under the
     session's limit and shuffled by hash beyond. A window shared by many documents is split by Spark's skew join.
     Null and empty texts match nothing; null ids form rows with a null id; repeated rows give one row; empty tables give none.
@@ -92,7 +92,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     inside = (F.col("form") == _PLAIN) & F.col("k").eqNullSafe(F.col("k_")) & (F.col("first") >= F.col("first_")) & (F.col("past") <= F.col("past_"))
     for c in ("version", "item", "size", "shift"):
         inside = inside & F.col(c).eqNullSafe(F.col(f"{c}_"))
-    runs = stored(runs.join(around, inside, "left_anti"), "benchmark-judged")
+    runs = runs if within else stored(runs.join(around, inside, "left_anti"), "benchmark-judged")
     item_slots = items.select("item", "size", F.explode(_slots(F.col("tokens"))).alias("s")).select("item", "size", F.col("s.word").alias("item_word"), F.col("s.value").alias("item_value"))
     wanted = stored(runs.join(item_slots, ["item", "size"]).where("item_word >= first and item_word < past").withColumn("word", F.col("item_word") + F.col("shift")), "benchmark-slots")
     with_slots = rows.join(wanted.select(F.col("k").alias("k2"), F.col("version").alias("v2")).distinct(), F.col("k").eqNullSafe(F.col("k2")) & (F.col("version") == F.col("v2")), "left_semi").dropDuplicates(["k", "version"])
@@ -118,6 +118,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their columns as they are."""
-    held = stored(decontaminate(docs, benchmark, id_col).select(F.col(id_col).alias("held")).distinct(), "benchmark-held")
+    """The rows of docs that hold no benchmark item, with their columns as they are. A verbatim stretch counts whatever slots change around it."""
+    held = stored(decontaminate(docs, benchmark, id_col, within=True).select(F.col(id_col).alias("held")).distinct(), "benchmark-held")
     return docs.join(held, docs[id_col].cast("long").eqNullSafe(F.col("held")), "left_anti")

@@ -306,6 +306,13 @@ def test_decontamination_in_any_casing(spark):
     assert {d.doc_id for d in decontam.without_benchmark(docs(spark, texts.items()), bench).collect()} == {4, 5}
 
 
+def test_verbatim_stretch_beside_an_edited_number(spark):
+    item = "a train from Paris leaves at 9 and runs 60 km in 2 hours while another train from Lyon runs 60 km in 3 hours"
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = {0: item.replace("60 km in 2", "75 km in 2"), 1: item.replace("60 km in 2", "75 km in 2").replace("60 km in 3", "80 km in 3")}
+    assert {d.doc_id for d in decontam.without_benchmark(docs(spark, texts.items()), bench).collect()} == {1}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script></head><body class="page"><nav><ul><li><a href="/a">menu</a></li></ul></nav>
 <div class="ad">buy</div><div id="cookie-notice">we use cookies</div><div class="content c12"><h1>Head  &amp; line</h1><p>One<b> two</b>
 three&nbsp;four.<p>Un <a href=x>closed</a> <i>para<p>Last.<br>line<form><input><button>go</button>form</form></div>
