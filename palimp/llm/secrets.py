@@ -23,6 +23,9 @@ MAX_OWNERS = 2
 #: What looks live is at least so long, has a letter and a digit and so many different characters.
 LIVE_CHARS, LIVE_DISTINCT = 16, 6
 
+#: Values that stand for a secret and are none: one character repeated, or these words with signs between them and at most a short number after a sign.
+PLACEHOLDER = r"(?i)^(.)\1*$|^[^a-z0-9]*((your|my|the|new|old|some|insert|enter|here|example|sample|dummy|placeholder|change_?me|redacted|none|null|true|false|undefined|password|passwd|secret|token|api_?key|key|value|string)[^a-z0-9]*)+([-_.][0-9]{1,2})?$"
+
 _CAND = "array<struct<start:int,kind:int,end:int,value:string,value_start:int>>"
 
 
@@ -75,8 +78,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, mask: str = "<secret>") -> DataFrame:
-    """docs with every live span replaced by the mask; copied examples, all rows and all columns stay. Rows without a live span are as they were, null texts included."""
-    found, added = _judged(docs, id_col, text_col, owner_col, max_owners)
+    """docs with the value of every base span that at most max_owners owners hold replaced by the mask, short ones and those of one kind of character too; evident placeholders, copied examples, all rows and all columns stay. Rows without such a span are as they were, null texts included."""
+    found, added = _judged(docs, id_col, text_col, owner_col, max_owners, any_shape=True)
     live = found.join(added.where(F.size("more") > 0), "row").select(F.col("k").alias("_k"), F.col("version").alias("_version"), F.array_sort("more").alias("_spans")).dropDuplicates(["_k", "_version"])
     live = stored(live, "secret-spans")
     text = F.col(text_col)
@@ -91,7 +94,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     return docs.join(live, same, "left").withColumn(text_col, replaced).select(*docs.columns)
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, max_owners: int) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, max_owners: int, any_shape: bool = False) -> tuple[DataFrame, DataFrame]:
     """The candidates of each row, and by row what the owners of its values add: live spans, live and copied values."""
     found = stored(_candidates(docs, id_col, text_col, owner_col), "secret-candidates")
     span = F.struct(F.col("c.value_start").alias("start"), F.lit(len(BASE)).alias("kind"), F.col("c.end").alias("end"))
@@ -99,6 +102,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, max_own
     per_owner = each.select("hash", "owner", "k").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
     verdict = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     looks = (F.length("value") >= LIVE_CHARS) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_DISTINCT)
+    if any_shape:
+        looks = ~F.col("value").rlike(PLACEHOLDER)
     judged = each.join(verdict, "hash").withColumn("live", looks & (F.col("owners") <= max_owners))
     added = judged.groupBy("row").agg(
         F.collect_set(F.when(F.col("live"), F.col("span"))).alias("more"),
