@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -44,3 +44,34 @@ def similarity(a: Column, b: Column, least: float) -> Column:
             yield pa.array([None if p is None or q is None else ratio(p, q, least) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
     return scored(a, b)
+
+
+def subsequences(texts: list[str]) -> Callable[[str], list[int]]:
+    """A function from a string to the lengths of its longest common subsequences with all texts, compared at once: fields of one integer, each with a bit more for its carry."""
+    places: dict[str, int] = {}
+    fields, bits = [], []
+    at = 0
+    for t in texts:
+        fields.append((at, at + len(t)))
+        bits.append("1" * len(t) + "0")
+        at += len(t) + 1
+    found: dict[str, list[int]] = {}
+    for (start, _), t in zip(fields, texts, strict=True):
+        for k, c in enumerate(t, start):
+            found.setdefault(c, []).append(k)
+    for c, ks in found.items():
+        mask = bytearray(at // 8 + 1)
+        for k in ks:
+            mask[k >> 3] |= 1 << (k & 7)
+        places[c] = int.from_bytes(mask, "little")
+    full = int("".join(bits)[::-1] or "0", 2)
+
+    def lengths(b: str) -> list[int]:
+        row = full
+        for c in b:
+            if hit := row & places.get(c, 0):
+                row = ((row + hit) | (row - hit)) & full
+        left = f"{row:0{at or 1}b}"[::-1]
+        return [end - start - left.count("1", start, end) for start, end in fields]
+
+    return lengths

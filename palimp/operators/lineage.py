@@ -5,11 +5,16 @@ Windows by stream and line replace a scan of each stream in order, so one giant
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimp.functions.patterns import rstripped
-from palimp.functions.similarity import similarity
+from palimp.functions.similarity import similarity, subsequences
 
 VERSION = "lineage-1"
 #: Least similarity of an edit, and least length of a line that is compared.
@@ -113,9 +118,26 @@ def totals(summary: DataFrame) -> DataFrame:
 
 
 def nearest_lines(classes: DataFrame, top: int = 3) -> DataFrame:
-    """The most similar lines of the predecessor for each unseen line: item_id, line_no, rank, old, score."""
-    old = classes.select("stream_key", (F.col("pos") + 1).alias("pos"), F.col("line").alias("old")).distinct()
-    new = classes.where("classification in ('new', 'modified') and pos > 1").select("item_id", "stream_key", "pos", "line_no", "line")
-    scored = new.join(old, ["stream_key", "pos"]).withColumn("score", F.round(similarity(F.col("line"), F.col("old"), 0.0), 4))
-    rank = F.row_number().over(Window.partitionBy("item_id", "line_no").orderBy(F.desc("score"), "old"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("item_id", "line_no", "rank", "old", "score")
+    """The most similar lines of the predecessor for each new, modified or restored line, of any length: item_id, line_no, rank, old, score.
+
+    A version and its predecessor are one row, and each line is compared with all lines of the predecessor at once.
+    """
+    old = classes.groupBy("stream_key", (F.col("pos") + 1).alias("pos")).agg(F.collect_set("line").alias("olds"))
+    new = classes.where("classification in ('new', 'modified', 'restored') and pos > 1").groupBy("item_id", "stream_key", "pos").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
+
+    shape = pa.schema([("item_id", pa.string()), ("line_no", pa.int32()), ("rank", pa.int32()), ("old", pa.string()), ("score", pa.float64())])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1).to_pylist()[0]
+                olds, lengths, out = r["olds"], subsequences(r["olds"]), []
+                for x in r["lines"]:
+                    scores = [200.0 * n / (len(x["line"]) + len(o)) for n, o in zip(lengths(x["line"]), olds, strict=True)]
+                    # Scores that may round to the last rank's are rounded as Spark does, and ties go by text.
+                    least = heapq.nlargest(top, scores)[-1] - 1e-4
+                    best = sorted((-float(Decimal(repr(s)).quantize(Decimal("0.0001"), ROUND_HALF_UP)), o) for s, o in zip(scores, olds, strict=True) if s >= least)
+                    out += [{"item_id": r["item_id"], "line_no": x["line_no"], "rank": k, "old": o, "score": -s} for k, (s, o) in enumerate(best[:top], 1)]
+                yield pa.RecordBatch.from_pylist(out, shape)
+
+    return new.join(old, ["stream_key", "pos"]).select("item_id", "lines", "olds").mapInArrow(nearest, "item_id string, line_no int, rank int, old string, score double")

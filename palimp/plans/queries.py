@@ -102,11 +102,7 @@ def lineage_modified(spark, sf):
 
 @query()
 def nearest_lines(spark, sf):
-    c = from_tables(spark, sf)
-    edited = lineage.line_classes(c.text_item)
-    old = edited.where("classification = 'modified'").select("stream_key", "pos").distinct()
-    near = edited.join(old, ["stream_key", "pos"], "left_semi").unionByName(edited.join(old.select("stream_key", (F.col("pos") - 1).alias("pos")), ["stream_key", "pos"], "left_semi")).distinct()
-    return lineage.nearest_lines(near.where("length(line) < 2000"))
+    return lineage.nearest_lines(lineage.line_classes(from_tables(spark, sf).text_item))
 
 
 @query(f"WITH {HITS} SELECT item_id, artifact_id, norm AS normalized, raw FROM found WHERE type = 'url'")
