@@ -48,10 +48,8 @@ def test_heap_merging_is_the_librarys(spark):
         assert own.count(t) == len(lib.encode(t, add_special_tokens=False).ids), t
 
 
-def test_packing(spark):
-    lib = Tokenizer.from_file(JSON)
-    rows = list(enumerate(ODD)) + [(100 + k, words(k, 30 + 7 * k)) for k in range(60)]
-    got = packing.pack(docs(spark, rows), RANKS, {"<|endoftext|>": 50256}).collect()
+def packed_whole(got, rows, lib, size=1024):
+    """Each id lies in one piece, and each sequence is gapless and full or a power of two."""
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
         pieces[r.doc_id].append(r)
@@ -70,10 +68,49 @@ def test_packing(spark):
         for p in sorted(s, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= 1024 and at & (at - 1) == 0  # full, or a power of two: no padding
+        assert at <= size and at & (at - 1) == 0  # full, or a power of two: no padding
+
+
+def test_packing(spark):
+    lib = Tokenizer.from_file(JSON)
+    rows = list(enumerate(ODD)) + [(100 + k, words(k, 30 + 7 * k)) for k in range(60)]
+    rows += [(200, " " * 30_000), (201, "a  " + " \n" * 20_000 + "<|endoftext|> b" + "\t" * 10_001 + "x" + " " * 12_000), (202, "\u3000" * 11_000 + "é")]
+    got = packing.pack(docs(spark, rows), RANKS, {"<|endoftext|>": 50256}).collect()
+    packed_whole(got, rows, lib)
     assert packing.pack(docs(spark, []), RANKS, {}).count() == 0
 
 
+@pytest.mark.parametrize("text", [" ", "\n", "a", "!", "7"])
+def test_five_million_equal_characters(text):
+    ids = packing.encoder(RANKS, {"<|endoftext|>": 50256})(text * 5_000_000)
+    # A tenth of it by the library, whose ids repeat but at the end.
+    want = Tokenizer.from_file(JSON).encode(text * 500_000, add_special_tokens=False).ids
+    assert len(set(ids.tolist())) <= len(set(want)) + 2 and 9.9 < len(ids) / len(want) < 10.1
+
+
+@pytest.mark.parametrize("sizes", [(600, 999), (1, 1023), (1000, 1023), (1, 40), (513, 514)])
+def test_open_windows_are_bounded(sizes):
+    p, r, given, out = packing.SumOfSquares(1024, 16), random.Random(4), {}, defaultdict(list)
+
+    def check():
+        for pieces, _ in p.take():
+            n = sum(len(x[2]) for x in pieces)
+            assert n <= 1024 and n & (n - 1) == 0
+            for doc, at, ids, total in pieces:
+                assert total == len(given[doc])
+                out[doc].append((at, ids))
+
+    for n in range(3000):
+        given[n] = np.arange(n, n + r.randint(*sizes), dtype="<u4")
+        p.place(n, given[n].copy())
+        assert p.n_open <= 16 and p.n_open == p.levels.sum() == sum(map(len, p.open.values()))
+        check()
+    p.flush()
+    check()
+    for n, ids in given.items():
+        assert np.array_equal(np.concatenate([x for _, x in sorted(out[n], key=lambda x: x[0])]), ids)
+
+
 def test_sum_of_squares_choice():
     p = packing.SumOfSquares(10)
     r = random.Random(3)
