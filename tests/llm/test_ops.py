@@ -371,3 +371,71 @@ def test_html(spark):
     texts = {0: want, 1: want, 2: want, 3: want, 4: want, 5: "", 6: "", 7: "plain <b> text", 8: "T\nx", 9: "a < b"}
     assert got == Counter((i, u, texts[i], len(texts[i])) for i, u, _ in rows)
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+KEPT = {
+    '<p>Intro</p><svg class="i"/><p>Article body</p>': "Intro\nArticle body",
+    '<p>Intro</p><svg class="i"><p>Article body</p>': "Intro\nArticle body",
+    '<p>In <svg><title>t</title><path d="x"/><text>no</text></svg> one</p><p>Body</p>': "In one\nBody",
+    "<p>Intro</p><math/><p>Article body</p>": "Intro\nArticle body",
+    "<div><iframe src=x></div><p>Article body long</p>": "Article body long",
+    '<div class="social-policy">Some policy</div><p id="search-algorithms">algorithms</p><section class="related-work">work</section>': "Some policy\nalgorithms\nwork",
+    '<div class="has-sidebar"><div class="content"><p>main text</p></div><div class="sidebar">side</div></div>': "main text",
+    f"<article><p>intro</p><section>{'x ' * 400}</section><p>end</p></article>": f"intro\n{' '.join('x' * 400)}\nend",
+    f"<div id=c><p>lead</p><div class=body><p>{'word ' * 300}</p></div></div>": f"lead\n{' '.join(['word'] * 300)}",
+    f"<form id=page><div><p>{'text ' * 50}</p><input></div></form>": " ".join(["text"] * 50),
+    f"<article><p>short</p></article><div class='reader-comments'><p>{'blah ' * 500}</p></div>": "short",
+    '<p>a<span hidden>x</span>b <span>c</span></p>': "ab c",
+    "<p>text <noscript>no</p><p>more": "text\nmore",
+    "<p>x<b>y</b><!-- <p>no</p> -->z&amp;&#65;</p><script>if(a<b)</script><style>p{}": "xyz&A",
+}
+
+
+def test_html_keeps_the_article():
+    for page, want in KEPT.items():
+        assert html_main.main_text(page, [], frozenset()) == want, page
+
+
+def test_html_in_proportion_to_its_length():
+    import time
+
+    for page in ("<div>a", "<ul><li>a<b>", "<iframe><p>x", "<p><span>x", "<table><tr><td>x", "<svg><g>x", "<p>a</p><div>", "<svg><g>x</g><p>y"):
+        began = time.time()
+        html_main.main_text(page * 20_000, [1, 2], frozenset({1}))
+        assert time.time() - began < 20, page
+
+
+def test_html_votes_and_extraction(spark):
+    """Hosts with two templates, repeated blocks, and pages that are like none of their host: counted and read again without Spark."""
+    r, rows = random.Random(6), []
+    for k in range(120):
+        body = "".join(f"<p>{words(k * 10 + n, r.randint(5, 30))}</p>" for n in range(r.randint(1, 5)))
+        share = "<div>Share this with your friends now</div>"
+        page = (f'<div class="page{k}"><div class="text">{body}{share}</div><div class="x">{words(k, 4)}</div></div>', f"<section class=old>{body}</section><p>{words(k + 1, 3)}</p>", f"<td>{body}")[0 if r.random() < 0.6 else r.randint(1, 2)]
+        rows.append((k, f"https://h{k % 3}.example:8080/{k}", f"<body>{page}</body>"))
+    rows += [(1, rows[1][1], rows[1][2]), (None, None, rows[0][2]), (500, "", "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by_host = defaultdict(list)
+    of_host = lambda url: re.sub(r"^https://([^:]*):.*", r"\1", url or "")
+    for _, url, page in rows:
+        by_host[of_host(url)].append(page)
+    paths, repeated = {}, {}
+    for host, pages in by_host.items():
+        votes, weights, seen = Counter(), Counter(), Counter()
+        for page in pages:
+            nodes, found = html_main.readable(page)
+            best = html_main.best_container(nodes)
+            if best is not None:
+                votes[best.key] += 1
+                weights[best.key] += best.weight
+            seen.update({b.key() for b in found})
+        order = sorted(votes, key=lambda p: (votes[p], weights[p], p), reverse=True)
+        paths[host] = [p for p in order if votes[p] >= 0.1 * len(pages)] or order[:1]
+        repeated[host] = {b for b, n in seen.items() if n >= max(5, 0.5 * len(pages))}
+    got = {g.host: g for g in html_main.consensus(df.select(html_main.host_of(F.col("url")).alias("host"), "html")).collect()}
+    assert {h: g.paths for h, g in got.items()} == {h: p for h, p in paths.items() if h in got} and all(not paths[h] for h in set(paths) - set(got))
+    assert {h: set(g.repeated) for h, g in got.items()} == {h: repeated[h] for h in got} and len(paths["h0.example"]) > 1 and any(repeated.values())
+    text = {(h, page): html_main.main_text(page, paths[h], frozenset(repeated[h])) for h, pages in by_host.items() for page in pages}
+    out = Counter((g.page_id, g.url, g.text, g.n_chars) for g in html_main.extract(df).collect())
+    assert out == Counter((i, u, text[of_host(u), p], len(text[of_host(u), p])) for i, u, p in rows)
+    assert any("Share" in page and "Share" not in t for (_, page), t in text.items())
