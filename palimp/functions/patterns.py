@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +23,41 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.filter(F.flatten(apart), lambda x: x.isNotNull())).otherwise(marked)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: a plain expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element of an array of ints the sum of those before it. Sums are kept in chunks of about the root of the size, as appending to an array copies it."""
+    def of(a: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.size(a) - 1, width), lambda at: F.slice(a, at + 1, width))
+        total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+
+        def step(acc: Column, n: Column) -> Column:
+            return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+
+        def within(chunks: Column, totals: Column) -> Column:
+            return F.flatten(F.transform(chunks, lambda x, i: F.aggregate(x, F.struct(total(F.slice(totals, F.lit(1), i)).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]))
+
+        return let(cut, lambda chunks: let(F.transform(chunks, total), lambda totals: within(chunks, totals)))
+
+    return let(numbers, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """start, end, raw and line (its number from 0) of all matches, left to right; positions and lines are sums over gaps and matches, so a text is read once whatever it holds."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), F.lit(False).alias("match"), F.array().cast(_SPANS).alias("out"))
+    lines = lambda part: F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        line = acc["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("raw"), acc["line"].alias("line"))
-        return F.struct(end.alias("at"), line.alias("line"), (~acc["match"]).alias("match"), F.when(acc["match"], F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def of(parts: Column) -> Column:
+        at, line = sums_before(F.transform(parts, F.length)), sums_before(F.transform(parts, lines))
+        one = lambda part, p: F.struct(p["at"].alias("start"), (p["at"] + F.length(part)).alias("end"), part.alias("raw"), p["line"].alias("line"))
+        whole = F.zip_with(parts, F.zip_with(at, line, lambda a, n: F.struct(a.alias("at"), n.alias("line"))), one)
+        return F.filter(whole, lambda _, i: i % 2 == 1)
 
-    return F.aggregate(_cut(text, pattern), zero, step)["out"]
+    found = let(_cut(text, pattern), lambda parts: F.when(F.size(parts) > 1, of(parts)))
+    return F.coalesce(found, F.when(text.isNotNull(), F.array().cast(_SPANS)))
 
 
 def blanked(text: Column, pattern: str) -> Column:
