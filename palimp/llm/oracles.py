@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from palimp.llm.decontam import LEAST_WORDS, UNITS, WINDOW
 from palimp.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, WORD
-from palimp.llm.secrets import BASE, LIVE, LIVE_CHARS, LIVE_DISTINCT, MAX_OWNERS
+from palimp.llm.secrets import BASE, LIVE, MAX_OWNERS, MAX_REPOSITORIES, PLACEHOLDER
 
 
 def _quoted(text: str) -> str:
@@ -31,9 +31,9 @@ def secrets() -> str:
     text = f"list_extract({names!r}, kind + 1) || ':' || s || ':' || e"
     return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents), k AS ({parts}), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k),
 c AS (SELECT doc_id, owner, kind, v[i] AS v, s, s + length(m[i]) AS e FROM (SELECT *, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM i) WHERE length(v[i]) >= least),
-o AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY 1),
-j AS (SELECT c.*, owners, owners <= {MAX_OWNERS} AND length(v) >= {LIVE_CHARS} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {LIVE_DISTINCT} AS live FROM c JOIN o USING (v)),
-b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({text}, ',' ORDER BY s, kind, e) AS base, count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (owners > {MAX_OWNERS}) AS n_copied FROM j GROUP BY 1),
+o AS (SELECT v, count(DISTINCT owner) <= {MAX_OWNERS} AND count(DISTINCT doc_id) <= {MAX_REPOSITORIES} AS rare FROM c GROUP BY 1),
+j AS (SELECT c.*, rare, rare AND NOT regexp_matches(v, {_quoted(PLACEHOLDER)}) AND len(list_distinct(string_split(v, ''))) > 1 AS live FROM c JOIN o USING (v)),
+b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({text}, ',' ORDER BY s, kind, e) AS base, count(DISTINCT v) FILTER (live) AS n_live, count(DISTINCT v) FILTER (NOT rare) AS n_copied FROM j GROUP BY 1),
 a AS (SELECT doc_id, string_agg({text}, ',' ORDER BY s, kind, e) AS spans FROM (SELECT doc_id, kind, s, e FROM c UNION SELECT doc_id, {len(BASE)}, e - length(v), e FROM j WHERE live) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
