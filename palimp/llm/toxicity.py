@@ -13,58 +13,57 @@ from pyspark.sql import functions as F
 
 from palimp.llm.common import bound_batches, stored, text_or_empty
 
-BITS = 18
-ORDERS = (5,)
-#: Bound of the sample that the classifier is fitted on: labelled rows of each class, those with the smallest hashes of their ids.
-SAMPLE_PER_CLASS = 2000
-#: Weights that are kept, by size; a text's other n-grams weigh nothing.
-KEPT = 6_000
+#: Buckets of hashed n-grams (as bits), the orders of the character n-grams, and documents of the sample that an n-gram must be in.
+BITS, ORDERS, LEAST_DOCS = 20, (3, 4, 5), 4
+#: Bounds of the sample that the classifier is fitted on, by hash of the ids: labelled rows of each class, and distinct n-grams of all of them together.
+SAMPLE_PER_CLASS, SAMPLE_GRAMS = 2000, 24_000_000
 _BREAK = re.compile(r"[\W\d_]+")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed n-grams of all texts one after another (with repeats) and the text that each belongs to. Letters only, lower case, words between single spaces."""
-    parts = [(" " + _BREAK.sub(" ", t.lower()) + " ").encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(parts), dtype=np.int64), [len(p) for p in parts])
-    ids, owners = [], []
-    h = data
-    for n in range(2, max(ORDERS) + 1):
-        h = h[:-1] * np.uint32(0x01000193) + data[n - 1 :]
-        if n in ORDERS and len(h):
-            whole = owner[: len(h)] == owner[n - 1 :]
-            x = h ^ np.uint32(n * 0x9E3779B9 & 0xFFFFFFFF)
-            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            ids.append((x >> np.uint32(32 - BITS))[whole])
-            owners.append(owner[: len(h)][whole])
-    if not ids:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    return np.concatenate(ids), np.concatenate(owners)
-
-
-def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 60, decay: float = 3e-3) -> tuple[np.ndarray, float]:
+class Grams:
+    """Hashes of the different character n-grams of texts. Letters only, lower case, words between single spaces."""
+
+    def __init__(self):
+        self._place = np.zeros(1 << BITS, np.int32)
+
+    def __call__(self, text: str) -> np.ndarray:
+        data = np.frombuffer(f" {_BREAK.sub(' ', text.lower())} ".encode("utf-32-le", "replace"), "<u4")
+        out, h = [], data
+        for n in range(2, max(ORDERS) + 1):
+            h = h[:-1] * np.uint32(0x01000193) + data[n - 1 :]
+            if n in ORDERS:
+                x = h ^ np.uint32(n * 0x9E3779B9 & 0xFFFFFFFF)
+                x = (x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+                out.append((x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS))
+        ids = np.concatenate(out)
+        # Of equal ones the last is found again at its own place: no sorting.
+        at = np.arange(len(ids), dtype=np.int32)
+        self._place[ids] = at
+        return ids[self._place[ids] == at]
+
+
+def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 40, decay: float = 3e-3) -> tuple[np.ndarray, float]:
     """Weights of the hashed n-grams and the bias. docs: each text's distinct n-grams. Logistic loss on presence times log-count ratio, full-batch Adam, classes weighted to the prior odds of all labelled rows by the bias."""
-    n_features = 1 << BITS
     sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs)
+    col = np.concatenate(docs).astype(np.int32)
     y = toxic.astype(np.float64)
-    yes = np.bincount(flat, weights=np.repeat(y, sizes), minlength=n_features)
-    every = np.bincount(flat, minlength=n_features)
-    ratio = np.log((yes + 1) / (y.sum() + 2)) - np.log((every - yes + 1) / ((1 - y).sum() + 2))
-    ratio[every < 4] = 0
-    live = np.flatnonzero(ratio)
-    place = np.full(n_features, -1, np.int32)
-    place[live] = np.arange(len(live), dtype=np.int32)
-    col = place[flat]
-    row = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)[col >= 0]
-    col = col[col >= 0]
-    r = ratio[live]
-    w, bias = np.zeros(len(live)), 0.0
+    yes = np.bincount(col, weights=np.repeat(y, sizes), minlength=1 << BITS)
+    every = np.bincount(col, minlength=1 << BITS)
+    r = np.log((yes + 1) / (y.sum() + 2)) - np.log((every - yes + 1) / ((1 - y).sum() + 2))
+    r[every < LEAST_DOCS] = 0
+    kept = every >= LEAST_DOCS
+    ends = np.cumsum(np.r_[0, kept[col]])[np.cumsum(np.r_[0, sizes])]
+    col, r = (np.cumsum(kept) - 1).astype(np.int32)[col[kept[col]]], r[kept]
+    sizes = np.diff(ends)
+    filled = np.flatnonzero(sizes)
+    w, bias = np.zeros(len(r)), 0.0
     mean, spread, mean_b, spread_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=(w * r)[col], minlength=len(docs)) + bias
+        z = np.full(len(docs), bias)
+        if len(filled):
+            z[filled] += np.add.reduceat((w * r).astype(np.float32)[col], ends[filled], dtype=np.float64)
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(docs)
-        g = np.bincount(col, weights=err[row], minlength=len(live)) * r + decay * w
+        g = np.bincount(col, weights=np.repeat(err, sizes), minlength=len(r)) * r + decay * w
         gb = err.sum()
         mean, spread = 0.9 * mean + 0.1 * g, 0.999 * spread + 0.001 * g * g
         mean_b, spread_b = 0.9 * mean_b + 0.1 * gb, 0.999 * spread_b + 0.001 * gb * gb
@@ -73,38 +72,31 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 60
         bias -= a * mean_b / (np.sqrt(spread_b) + 1e-8)
     share = float(y.mean())
     bias += np.log(prior / (1 - prior)) - np.log(share / (1 - share))  # the sample is balanced, the rows are not
-    out = np.zeros(n_features, np.float32)
-    order = np.argsort(-np.abs(w * r), kind="stable")[:KEPT]
-    out[live[order]] = (w * r)[order]
+    out = np.zeros(1 << BITS, np.float32)
+    out[kept] = w * r
     return out, float(bias)
 
 
-def weigh(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Scores between 0 and 1. Each distinct n-gram of a text counts once."""
-    ids, owner = grams(texts)
-    found = weights[ids] != 0
-    key = np.unique(owner[found] << BITS | ids[found])
-    z = bias + np.bincount(key >> BITS, weights=weights[key & ((1 << BITS) - 1)].astype(np.float64), minlength=len(texts))
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
 class Model(NamedTuple):
-    """A fitted classifier, small enough to travel with a task: at most KEPT weights."""
+    """A fitted classifier: a weight of each bucket (none: an empty array), 4 MB whatever the corpus, and the bias."""
 
-    ids: np.ndarray
-    values: np.ndarray
+    weights: np.ndarray
     bias: float
 
+    def of(self, grams: np.ndarray) -> float:
+        """The score of a text with these different n-grams, between 0 and 1."""
+        z = self.bias + (float(self.weights[grams].sum(dtype=np.float64)) if len(self.weights) else 0.0)
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
     def score(self, text: Column) -> Column:
         """The score of a text column; null counts as empty."""
-        ids, values, bias = self
+        model = self
 
         @F.arrow_udf("double")
         def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            weights = np.zeros(1 << BITS, np.float32)
-            weights[ids] = values
+            grams = Grams()
             for b in batches:
-                yield pa.array(weigh([t or "" for t in b.to_pylist()], weights, bias), pa.float64())
+                yield pa.array([model.of(grams(t or "")) for t in b.to_pylist()], pa.float64())
 
         return scored(text)
 
@@ -114,44 +106,53 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows that are not held out, at most SAMPLE_PER_CLASS of each class; the prior odds come from all of them.
+    """Fit on labelled rows that are not held out, at most SAMPLE_PER_CLASS of each class and SAMPLE_GRAMS n-grams; the prior odds come from all of them.
 
-    A document labelled twice counts once, as toxic if any of its labels is 1; null labels and ids and labels without a document don't count.
+    A document labelled twice counts once, as toxic if any of its labels is 1, and one whose id is repeated as its least text;
+    null labels and ids and labels without a document don't count.
     With labels of one class only, or none, every score is that class's share (none: 0).
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    nothing = np.zeros(0, np.float32)
     known = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     known = known.groupBy("k").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 40.0 if 1 in totals else -40.0)
+        return Model(nothing, 40.0 if 1 in totals else -40.0)
     order = (F.xxhash64("k"), F.col("k"))
     sample = known.where("y = 1").orderBy(*order).limit(SAMPLE_PER_CLASS).unionByName(known.where("y = 0").orderBy(*order).limit(SAMPLE_PER_CLASS))
     sample = F.broadcast(stored(sample, "toxicity-sample"))  # at most 2 * SAMPLE_PER_CLASS rows of 12 bytes
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text_or_empty(text_col).alias("text")).join(sample, "k")
+    rows = rows.groupBy("k", "y").agg(F.min("text").alias("text"))  # repeated ids meet before the shuffle
     prior = totals[1] / (totals[0] + totals[1])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
         for b in batches:
-            found = [np.unique(grams([t])[0]).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            found = [np.sort(grams(t)).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], ["k", "y", "f"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if len({r[1] for r in got}) < 2:
-            weights, bias = np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior)))
+        texts, toxic, room = [], [], SAMPLE_GRAMS
+        for b in batches:
+            for y, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if room >= len(f) // 4:
+                    room -= len(f) // 4
+                    texts.append(np.frombuffer(f, "<u4"))
+                    toxic.append(y)
+                else:
+                    room = -1  # the rest of the sample is beyond the bound
+        if len(set(toxic)) < 2:
+            weights, bias = nothing, float(np.log(prior / (1 - prior)))
         else:
-            got.sort()
-            weights, bias = fit([np.frombuffer(r[2], "<u4") for r in got], np.array([r[1] for r in got]), prior)
-        kept = np.flatnonzero(weights)
-        yield pa.RecordBatch.from_arrays([pa.array([kept.astype("<i8").tobytes()]), pa.array([weights[kept].astype("<f4").tobytes()]), pa.array([bias])], ["ids", "vals", "bias"])
+            weights, bias = fit(texts, np.array(toxic), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], ["weights", "bias"])
 
     vectors = stored(rows.select("k", "text", "y").mapInArrow(features, "k long, y int, f binary"), "toxicity-features")
-    got = vectors.coalesce(1).mapInArrow(train, "ids binary, vals binary, bias double").first()  # one task: the sample is bounded
-    if got is None:
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
-    return Model(np.frombuffer(got["ids"], "<i8"), np.frombuffer(got["vals"], "<f4"), got["bias"])
+    # One task, whose rows and n-grams are bounded; both classes come mixed by hash.
+    got = vectors.repartition(1).sortWithinPartitions(*order).mapInArrow(train, "weights binary, bias double").first()
+    return Model(np.frombuffer(got["weights"], "<f4"), got["bias"]) if got else Model(nothing, float(np.log(prior / (1 - prior))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,6 +147,54 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def plain_grams(t):
+    t = " " + re.sub(r"[\W\d_]+", " ", t.lower()) + " "
+    return {t[k : k + n] for n in toxicity.ORDERS for k in range(len(t) - n + 1)}
+
+
+def test_toxicity_grams_are_characters():
+    grams, seen = toxicity.Grams(), {}
+    for t in ["", "a", "Ärger über 12 Größen", "токсичный текст", "毒性的文本", "aaaa aaaa aaaa", words(3, 400)]:
+        got = grams(t)
+        assert len(got) == len(set(got.tolist())) and 0.99 * len(plain_grams(t)) <= len(got) <= len(plain_grams(t))  # but for buckets that two share
+        for g in plain_grams(t) if len(t) < 30 else ():
+            one = set(grams(g).tolist())
+            seen[g] = one
+    assert set(seen["ток"]) <= set(grams("токсичный текст").tolist()) | set(grams("ток").tolist())
+
+
+def test_toxicity_by_a_plain_fit():
+    """The same loss over dense vectors of n-grams as strings, step by step."""
+    r = random.Random(7)
+    texts = [" ".join(r.choice("good day nice tree river blue".split()) for _ in range(8)) + (" vile scum" if k % 3 == 0 else "") for k in range(40)]
+    y, prior, grams = np.array([int(k % 3 == 0) for k in range(40)]), 0.1, toxicity.Grams()
+    weights, bias = toxicity.fit([grams(t) for t in texts], y, prior)
+    names = sorted(set().union(*map(plain_grams, texts)))
+    x = np.array([[g in plain_grams(t) for g in names] for t in texts], float)
+    x = x[:, x.sum(0) >= toxicity.LEAST_DOCS]
+    ratio = np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2))
+    x, w, b, m, v, mb, vb = x * ratio, np.zeros(len(ratio)), 0.0, 0.0, 0.0, 0.0, 0.0
+    for t in range(1, 41):
+        err = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g, gb = x.T @ err + 3e-3 * w, err.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        b -= 0.03 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+    z = x @ w + b + np.log(prior / (1 - prior)) - np.log(y.mean() / (1 - y.mean()))
+    model = toxicity.Model(weights, bias)
+    assert np.allclose([model.of(grams(t)) for t in texts], 1 / (1 + np.exp(-z)), atol=0.02)
+    assert all(model.of(grams(t)) > model.of(grams("")) for t in ("vile scum", "VILE, scum!"))
+
+
+def test_toxicity_bounds(spark, monkeypatch):
+    """An id that many rows repeat is one row of the sample, and a sample beyond the bound of n-grams still gives a model."""
+    monkeypatch.setattr(toxicity, "SAMPLE_GRAMS", 20_000)
+    rows = [(i, words(i, 30) + (" zorgubal blah" if i % 4 == 0 else "")) for i in range(300)] + [(4, f"zorgubal {k}") for k in range(500)] + [(7, words(1, 40_000))]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs(spark, rows).withColumn("y", F.lit(1)).withColumn("k", F.lit(1)), labels).collect()
+    assert len(got) == len(rows) and sum(g.predicted == int(g.doc_id % 4 == 0) for g in got if g.doc_id != 4) > 270
+
+
 def plain_licenses(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     found = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
