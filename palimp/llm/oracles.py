@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palimp.llm.decontam import LEAST_WORDS, UNITS, WINDOW
-from palimp.llm.licenses import BLOCK, PHRASES, TEMPLATES, THRESHOLD, WORD
+from palimp.llm.licenses import PHRASE_SCORE, PHRASES, TEMPLATES, THRESHOLD, WORD, step_of
 from palimp.llm.secrets import BASE, LIVE, MAX_OWNERS, MAX_REPOSITORIES, PLACEHOLDER
 
 
@@ -13,15 +13,16 @@ def _quoted(text: str) -> str:
 
 def licenses() -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    rows = ", ".join(f"({n}, '{label}', '{w}', {len(set(t.split()))})" for n, (label, t) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
+    rows = ", ".join(f"({n}, '{label}', '{w}', {len(set(t.split()))}, {step_of(t)}, {int(w in must.split())}, {len(must.split())})" for n, (label, t, must) in enumerate(TEMPLATES) for w in sorted(set(t.split())))
+    blocks = " UNION ALL ".join(f"SELECT doc_id, place, {step} AS step, unnest(list_distinct(w[place + 1:place + {2 * step}])) AS word FROM (SELECT doc_id, w, unnest(range(0, len(w), {step})) AS place FROM d)" for step in sorted({step_of(t) for _, t, _ in TEMPLATES}))
     phrases = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM at_license WHERE w[i:i + {len(p.split()) - 1}] = {p.split()!r}" for p, label in PHRASES.items())
-    return f"""WITH t(n, label, word, size) AS (VALUES {rows}), d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), {_quoted(WORD)}) AS w FROM documents),
+    return f"""WITH t(n, label, word, size, step, must, musts) AS (VALUES {rows}), d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), {_quoted(WORD)}) AS w FROM documents),
 at_license AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')), p AS ({phrases}),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
-block AS (SELECT doc_id, place, unnest(list_distinct(w[place + 1:place + {2 * BLOCK}])) AS word FROM (SELECT doc_id, w, unnest(range(0, len(w), {BLOCK})) AS place FROM d)),
-m AS (SELECT doc_id, label, count(*) * 1.0 / size AS share FROM block JOIN t USING (word) GROUP BY doc_id, place, n, label, size HAVING count(*) >= ceil({THRESHOLD} * size - 1e-9)),
+block AS ({blocks}),
+m AS (SELECT doc_id, label, count(*) * 1.0 / size AS share FROM block JOIN t USING (word, step) GROUP BY doc_id, place, n, label, size, musts HAVING count(*) >= ceil({THRESHOLD} * size - 1e-9) AND sum(must) = musts),
 best AS (SELECT doc_id, max(share) AS best FROM m GROUP BY 1), l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM p) GROUP BY 1)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(CASE WHEN n_base > 0 THEN {PHRASE_SCORE} ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 

@@ -198,12 +198,12 @@ def test_toxicity_bounds(spark, monkeypatch):
 def plain_licenses(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     found = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
-    labels, best = {x for _, x in found}, 1.0 if found else 0.0
-    for at in range(0, len(w), licenses.BLOCK):
-        block = set(w[at : at + 2 * licenses.BLOCK])
-        for label, template in licenses.TEMPLATES:
-            s = set(template.split())
-            if len(s & block) >= math.ceil(0.8 * len(s) - 1e-9):
+    labels, best = {x for _, x in found}, licenses.PHRASE_SCORE if found else 0.0
+    for label, template, must in licenses.TEMPLATES:
+        step, s = licenses.step_of(template), set(template.split())
+        for at in range(0, len(w), step):
+            block = set(w[at : at + 2 * step])
+            if len(s & block) >= math.ceil(0.8 * len(s) - 1e-9) and set(must.split()) <= block:
                 labels.add(label)
                 best = max(best, len(s & block) / len(s))
     places = [k for k, _ in found]
@@ -213,13 +213,16 @@ def plain_licenses(t):
 def test_licenses(spark):
     r = random.Random(4)
     texts = [*ODD, "MIT License mit license", "Apache License. apache\nlicense", "the GNU General Public License, version 3 Ärger License", "license", words(3, 300) + " Released under the MIT License. " + words(4, 200)]
-    for label, t in licenses.TEMPLATES:
+    texts += ["Licensed under the GNU General Public License version 2.0", "The software was released last year under the old license terms", "Licensed under CC BY-NC 4.0"]
+    for label, t, _ in licenses.TEMPLATES:
         w = t.split()
         texts += [words(7, 90) + " " + t.upper() + " " + words(8, 60), " ".join(x if r.random() > 0.15 else "zzz" for x in w), " ".join(x if r.random() > 0.3 else "zzz" for x in w)]
     rows = list(enumerate(texts)) + [(2, texts[2]), (None, texts[-1])]
     got = licenses.licenses(docs(spark, rows).withColumn("score", F.lit("clash"))).collect()
     want = Counter((i, *plain_licenses(t)) for i, t in rows)
     assert Counter((g.doc_id, g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels, round(g.score, 9)) for g in got) == want
+    labels = {g.doc_id: g.labels for g in got}
+    assert [labels[texts.index(t)] for t in ("Licensed under the GNU General Public License version 2.0", "The software was released last year under the old license terms", "Licensed under CC BY-NC 4.0")] == ["gpl", "", "cc"]
     assert licenses.licenses(docs(spark, [])).count() == 0
 
 
