@@ -7,20 +7,22 @@ lower-cased words stand beside the canonical ones: a verbatim copy matches in an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimp.llm.common import stored, text_or_empty
+from palimp.llm.common import stored, text_or_empty, unused
 
-#: Words in a window, and words in a row (all of a shorter item) that a match takes.
-WINDOW, LEAST_WORDS = 8, 13
+#: Words in a window, and words in a row (all of a shorter item) that a match takes; items of fewer words than the last stand in any text and match nothing.
+WINDOW, LEAST_WORDS, LEAST_ITEM = 8, 13, 3
 TOKEN = r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
 #: Words that are units after a number.
 UNITS = "mm cm m km kg g mg lb lbs oz l ml s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years mile miles meter meters metre metres foot feet inch inches dollar dollars cent cents euro euros percent degrees gallon gallons liter liters".split()
 _NUMBER, _UNIT, _NAME = "#number", "#unit", "#name"
 #: Forms of a window, as bits: a window without slots has the same hash in both.
 _CANONICAL, _PLAIN = 1, 2
-_CODES = "array<struct<hash:bigint,plain:bigint>>"
+_CODES = "array<struct<hash:bigint,plain:bigint,word:boolean>>"
 
 
 def _tokens(text: Column) -> Column:
@@ -35,9 +37,10 @@ def _kind(tokens: Column, t: Column, i: Column) -> Column:
 
 
 def _codes(tokens: Column) -> Column:
-    """Two hashes for each word: hash is the same for all values of a placeholder, plain is the lower-cased word's; sentence marks are left out."""
-    mark = F.xxhash64(F.lit(""))
-    return F.filter(F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t))).alias("hash"), F.xxhash64(F.lower(t)).alias("plain"))), lambda h: h["hash"] != mark)
+    """Two hashes for each word: hash is the same for all values of a placeholder, plain is the lower-cased word's; word: it is no placeholder. Sentence marks are left out."""
+    mark, slots = F.xxhash64(F.lit("")), [F.xxhash64(F.lit(kind)) for kind in (_NUMBER, _UNIT, _NAME)]
+    both = F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t))).alias("hash"), F.xxhash64(F.lower(t)).alias("plain")))
+    return F.transform(F.filter(both, lambda h: h["hash"] != mark), lambda h: F.struct(h["hash"].alias("hash"), h["plain"].alias("plain"), (~h["hash"].isin(*slots)).alias("word")))
 
 
 def _slots(tokens: Column) -> Column:
@@ -49,28 +52,38 @@ def _slots(tokens: Column) -> Column:
 def _doubled(codes: Column, width: int) -> Column:
     """Hashes of windows of 2 * width words from those of width words."""
     n = F.size(codes) - width
-    both = lambda a, b: F.struct(F.xxhash64(a["hash"], b["hash"]).alias("hash"), F.xxhash64(a["plain"], b["plain"]).alias("plain"))
+    both = lambda a, b: F.struct(F.xxhash64(a["hash"], b["hash"]).alias("hash"), F.xxhash64(a["plain"], b["plain"]).alias("plain"), (a["word"] | b["word"]).alias("word"))
     return F.when(n > 0, F.zip_with(F.slice(codes, 1, F.greatest(n, F.lit(1))), F.slice(codes, width + 1, F.greatest(n, F.lit(1))), both)).otherwise(F.array().cast(_CODES))
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """A row for each window and form that differs: the columns of rows but tokens, at, hash, forms."""
+def _joined(codes: Column, width: int) -> Column:
+    """Hashes of windows of a few words."""
+    at = lambda i, name: [F.get(codes, i + k)[name] for k in range(width)]
+    one = lambda i: F.struct(F.xxhash64(*at(i, "hash")).alias("hash"), F.xxhash64(*at(i, "plain")).alias("plain"), F.greatest(*at(i, "word")).alias("word"))
+    return F.when(F.size(codes) >= width, F.transform(F.sequence(F.lit(0), F.size(codes) - width), one)).otherwise(F.array().cast(_CODES))
+
+
+def _windows(rows: DataFrame, width: int = WINDOW) -> DataFrame:
+    """A row for each window and form that differs: the columns of rows but tokens, at, hash, forms. Without a plain word a window has the plain form only: placeholders alone would join all lists of numbers or names."""
     kept = [c for c in rows.columns if c != "tokens"]
     step = rows.select(*kept, _codes(F.col("tokens")).alias("c"))
-    for width in (1, 2, 4):
-        step = step.select(*kept, _doubled(F.col("c"), width).alias("c"))
+    if width == WINDOW:
+        for half in (1, 2, 4):
+            step = step.select(*kept, _doubled(F.col("c"), half).alias("c"))
+    else:
+        step = step.select(*kept, _joined(F.col("c"), width).alias("c"))
     # The outer form, as Spark else repeats all of the above in a filter for non-empty arrays.
     step = step.select(*kept, F.posexplode_outer("c").alias("at", "w")).where("w is not null")
     form = lambda hash_, forms: F.struct(hash_.alias("hash"), F.lit(forms).alias("forms"))
     apart = F.array(form(F.col("w.hash"), _CANONICAL), form(F.col("w.plain"), _PLAIN))
-    return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).otherwise(apart)).alias("w")).select(*kept, "at", "w.*")
+    return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).when(F.col("w.word"), apart).otherwise(F.array(form(F.col("w.plain"), _PLAIN)))).alias("w")).select(*kept, "at", "w.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: bool = False) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, n_words (the longest run, of plain words where no canonical run holds), n_slots, n_changed.
 
-    A match is LEAST_WORDS canonical words in a row (all words of a shorter item; items under WINDOW words match nothing), and
-    within it every item value of a slot stands for one document value and the other way round; or as many plain words in a
+    A match is LEAST_WORDS canonical words in a row (all words of a shorter item, in one window if they are fewer than WINDOW;
+    items under LEAST_ITEM words match nothing), with a plain word in each window, so a stretch of placeholders ends it; and within it every item value of a slot stands for one document value and the other way round; or as many plain words in a
     row, in any casing, that no longer canonical run holds at the same place (there its slots decide; with `within`, plain runs inside canonical ones hold too). n_changed counts slots
     with another value than the item's. The item side is a written table whose size Spark knows: it is broadcast under the
     session's limit and shuffled by hash beyond. A window shared by many documents is split by Spark's skew join.
@@ -78,15 +91,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), _tokens(text_or_empty(item_text_col)).alias("tokens")).dropDuplicates()
     items = items.withColumn("size", F.size(_codes(F.col("tokens"))))
-    item_windows = stored(_windows(items).select("item", "size", F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms")).coalesce(8), "benchmark-windows")
+    items = items.where(F.col("size") >= LEAST_ITEM)
+    short = [r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect()]  # WINDOW values at most
+    wide = lambda df: reduce(DataFrame.unionByName, [_windows(df.where(F.col("size") == n) if "size" in df.columns else df, n) for n in sorted(short)], _windows(df))
+    item_windows = stored(wide(items).select("item", "size", F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms")).coalesce(8), "benchmark-windows")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text).alias("version"), _tokens(text).alias("tokens"))
-    hits = _windows(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.col("forms").bitwiseAND(F.col("item_forms")).alias("forms")).distinct()
+    hits = wide(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.col("forms").bitwiseAND(F.col("item_forms")).alias("forms")).distinct()
     hits = stored(hits, "benchmark-hits")
     hits = hits.withColumn("form", F.explode(F.array(F.lit(_CANONICAL), F.lit(_PLAIN)))).where(F.col("forms").bitwiseAND(F.col("form")) > 0).drop("forms").distinct()
     # Windows of a run follow one another: item_at less its rank is the same within a run.
     run = Window.partitionBy("k", "version", "item", "size", "shift", "form").orderBy("item_at")
-    runs = hits.withColumn("run", F.col("item_at") - F.row_number().over(run)).groupBy("k", "version", "item", "size", "shift", "form", "run").agg(F.min("item_at").alias("first"), (F.max("item_at") + WINDOW).alias("past"))
+    runs = hits.withColumn("run", F.col("item_at") - F.row_number().over(run)).groupBy("k", "version", "item", "size", "shift", "form", "run").agg(F.min("item_at").alias("first"), (F.max("item_at") + F.least(F.lit(WINDOW), F.col("size"))).alias("past"))
     runs = stored(runs.withColumn("n_words", F.col("past") - F.col("first")).where(F.col("n_words") >= F.least(F.lit(LEAST_WORDS), F.col("size"))), "benchmark-runs")
     around = runs.where(F.col("form") == _CANONICAL).select(*(F.col(c).alias(f"{c}_") for c in ("k", "version", "item", "size", "shift", "first", "past")))
     inside = (F.col("form") == _PLAIN) & F.col("k").eqNullSafe(F.col("k_")) & (F.col("first") >= F.col("first_")) & (F.col("past") <= F.col("past_"))
@@ -119,5 +135,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that hold no benchmark item, with their columns as they are. A verbatim stretch counts whatever slots change around it."""
-    held = stored(decontaminate(docs, benchmark, id_col, within=True).select(F.col(id_col).alias("held")).distinct(), "benchmark-held")
-    return docs.join(held, docs[id_col].cast("long").eqNullSafe(F.col("held")), "left_anti")
+    held = unused(docs, "held")
+    found = stored(decontaminate(docs, benchmark, id_col, within=True).select(F.col(id_col).alias(held)).distinct(), "benchmark-held")
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col(held)), "left_anti")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.common import bound_batches, stored
+from palimp.llm.common import bound_batches, stored, unused
 
 WORDS, THRESHOLD = 5, 0.8
 #: BANDS bands of ROWS 16-bit MinHash values; a pair at the threshold shares no band with a probability of 3e-6.
@@ -258,5 +258,6 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, i
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose class has a document of a smaller id, with their columns as they are. Rows with a null id stay."""
-    gone = stored(similar(docs, id_col=id_col, text_col=text_col).where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("gone")), "near-duplicates")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone"), "left_anti")
+    gone = unused(docs, "gone")
+    copies = stored(similar(docs, id_col=id_col, text_col=text_col).where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias(gone)), "near-duplicates")
+    return docs.join(copies, docs[id_col].cast("long") == F.col(gone), "left_anti")

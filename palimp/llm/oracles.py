@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimp.llm.decontam import LEAST_WORDS, UNITS, WINDOW
+from palimp.llm.decontam import LEAST_ITEM, LEAST_WORDS, UNITS, WINDOW
 from palimp.llm.licenses import PHRASE_SCORE, PHRASES, TEMPLATES, THRESHOLD, WORD, step_of
 from palimp.llm.secrets import BASE, LIVE, MAX_OWNERS, MAX_REPOSITORIES, PLACEHOLDER
 
@@ -67,12 +67,20 @@ def decontamination() -> str:
         return f"""{name}_token AS (SELECT *, lag(t) OVER (PARTITION BY {key} ORDER BY i) AS b FROM (SELECT {key}, unnest(a) AS t, unnest(range(len(a))) AS i FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*|[.!?\\n]') AS a FROM {table}))),
 {name}_kind AS (SELECT *, CASE WHEN t IN {marks} THEN '' WHEN t >= '0' AND t <= '9~' THEN '#number' WHEN lower(t) <> t AND i > 0 AND b NOT IN {marks} THEN '#name' WHEN i > 0 AND b >= '0' AND b <= '9~' AND lower(t) IN ({units}) THEN '#unit' END AS kind FROM {name}_token),
 {name}_word AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS w, coalesce(kind, lower(t)) AS c, CASE WHEN kind IS NOT NULL THEN lower(t) END AS v FROM {name}_kind WHERE kind IS DISTINCT FROM ''),
-{name}_window AS (SELECT * FROM (SELECT {key}, w, c || {" || ".join(f"'|' || lead(c, {k}) OVER x" for k in range(1, WINDOW))} AS win FROM {name}_word WINDOW x AS (PARTITION BY {key} ORDER BY w)) WHERE win IS NOT NULL)"""
-
-    return f"""WITH {words("d", "documents", "doc_id")}, {words("b", "benchmark", "item_id")}, size AS (SELECT item_id, count(*) AS size FROM b_word GROUP BY 1),
-hit AS (SELECT DISTINCT doc_id, item_id, b.w AS item_w, d.w - b.w AS shift FROM d_window d JOIN b_window b USING (win)),
+{name}_window AS ({windows(name, key)})"""
+
+    def windows(name: str, key: str) -> str:
+        """Windows of WINDOW words, and of fewer where an item has no more; each holds a plain word."""
+        rows = lambda n: f"ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING"
+        of = lambda n: f"SELECT {key}, w, {n} AS n, c || {' || '.join(f"'|' || lead(c, {k}) OVER x" for k in range(1, n))} AS win, bool_or(v IS NULL) OVER (PARTITION BY {key} ORDER BY w {rows(n)}) AS plain FROM {name}_word WHERE {n} IN (SELECT least({WINDOW}, size) FROM size) WINDOW x AS (PARTITION BY {key} ORDER BY w)"
+        return f"SELECT * FROM ({' UNION ALL '.join(map(of, range(LEAST_ITEM, WINDOW + 1)))}) WHERE win IS NOT NULL AND plain"
+
+    items = words("b", "benchmark", "item_id")
+    before = items.index("b_window AS")
+    return f"""WITH {items[:before]}size AS (SELECT item_id, count(*) AS size FROM b_word GROUP BY 1), {items[before:]}, {words("d", "documents", "doc_id")},
+hit AS (SELECT DISTINCT doc_id, item_id, b.w AS item_w, d.w - b.w AS shift FROM d_window d JOIN b_window b USING (win, n) JOIN size USING (item_id) WHERE n = least({WINDOW}, size)),
 r AS (SELECT *, item_w - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_w) AS run FROM hit),
-runs AS (SELECT {key}, min(item_w) AS first, max(item_w) + {WINDOW} AS past, max(item_w) + {WINDOW} - min(item_w) AS n_words FROM r JOIN size USING (item_id) GROUP BY {key}, size HAVING max(item_w) + {WINDOW} - min(item_w) >= least({LEAST_WORDS}, size)),
+runs AS (SELECT {key}, min(item_w) AS first, max(item_w) + least({WINDOW}, size) AS past, max(item_w) + least({WINDOW}, size) - min(item_w) AS n_words FROM r JOIN size USING (item_id) GROUP BY {key}, size HAVING max(item_w) + least({WINDOW}, size) - min(item_w) >= least({LEAST_WORDS}, size)),
 pair AS (SELECT {key}, i.v AS iv, d.v AS dv FROM runs JOIN b_word i USING (item_id) JOIN d_word d USING (doc_id) WHERE i.v IS NOT NULL AND d.v IS NOT NULL AND i.w >= first AND i.w < past AND d.w = i.w + shift),
 slot AS (SELECT {key}, count(*) AS n_slots, count(*) FILTER (iv <> dv) AS n_changed, count(DISTINCT dv) AS a, count(DISTINCT iv) AS b, count(DISTINCT (iv, dv)) AS m FROM pair GROUP BY ALL)
 SELECT doc_id, item_id, max(n_words) AS n_words, coalesce(max(n_slots), 0) AS n_slots, coalesce(min(n_changed), 0) AS n_changed FROM runs LEFT JOIN slot USING ({key}) WHERE n_slots IS NULL OR (m = a AND m = b) GROUP BY 1, 2"""

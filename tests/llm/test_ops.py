@@ -392,21 +392,23 @@ def test_neighbours(spark, monkeypatch):
 
 
 def test_decontamination(spark):
-    items = [(0, words(200, 40)), (1, words(201, 20)), (2, words(202, 9)), (3, words(203, 5)), (4, None), (5, "a train from Paris leaves at 9 and runs 60 km in 2 hours while another train from Lyon runs 60 km in 3 hours")]
+    items = [(0, words(200, 40)), (1, words(201, 20)), (2, words(202, 9)), (3, words(203, 5)), (4, None), (6, "Why?"), (7, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (8, "Add 5 to 7"), (5, "a train from Paris leaves at 9 and runs 60 km in 2 hours while another train from Lyon runs 60 km in 3 hours")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    items = dict(items)
+    items = [(k, items.get(k)) for k in range(9)]
     other = items[5][1].replace("60", "75").replace("Paris", "Rome").replace("km", "miles")
     wrong = items[5][1].replace("60 km in 2", "75 km in 2").replace("60 km in 3", "80 km in 3")
     texts = {
         0: words(1, 50) + " " + items[0][1].upper().lower() + " " + words(2, 30),
         1: items[1][1], 2: " ".join(items[0][1].split()[5:17]), 3: " ".join(items[0][1].split()[5:18]), 4: items[2][1] + " " + words(3, 5),
-        5: items[3][1], 6: None, 7: "", 8: other, 9: wrong, 10: items[5][1], 11: words(5, 900), 12: items[0][1] + "\n" + items[1][1],
+        5: items[3][1] + " why " + " ".join(map(str, range(20, 40))), 13: "please add 6 to 9 now", 14: "add 6 to Rome", 6: None, 7: "", 8: other, 9: wrong, 10: items[5][1], 11: words(5, 900), 12: items[0][1] + "\n" + items[1][1],
     }
     rows = [*texts.items(), (1, texts[1]), (None, items[1][1])]
     got = {(g.doc_id, g.item_id): (g.n_slots, g.n_changed) for g in decontam.decontaminate(docs(spark, rows).withColumn("item_id", F.lit("clash")), bench).collect()}
-    assert set(got) == {(0, 0), (1, 1), (3, 0), (4, 2), (8, 5), (10, 5), (12, 0), (12, 1), (None, 1)}
+    assert set(got) == {(0, 0), (1, 1), (3, 0), (4, 2), (5, 3), (8, 5), (10, 5), (12, 0), (12, 1), (13, 8), (None, 1)}
     assert got[10, 5][1] == 0 and got[8, 5][1] == 5 and got[0, 0] == (0, 0)
     kept = {d.doc_id for d in decontam.without_benchmark(docs(spark, rows), bench).collect()}
-    assert kept == {2, 5, 6, 7, 9, 11}
+    assert kept == {2, 6, 7, 9, 11, 14}
     assert decontam.decontaminate(docs(spark, []), bench).count() == 0 and decontam.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0
 
 
