@@ -88,10 +88,11 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
 
 
 def linked(a: dict, b: dict, band: int, same: bool, looks: list[tuple[int, int]], threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a and, for each, the rows of b that it is linked with. Only pairs whose first common band is this one; within one block only later rows."""
+    """Rows of a and, for each, the rows of b that it is linked with. Only pairs whose first common band is this one and whose cores differ; within one block only later rows."""
     n = len(b["rep"])
     for x in range(len(a["rep"])):
         y = np.arange(x + 1 if same else 0, n)
+        y = y[b["core"][y] != a["core"][x]]
         y = y[~(b["bands"][y, :band] == a["bands"][x, :band]).any(1)]
         ratio = threshold - 1e-12
         sizes = b["size"][y]
@@ -135,14 +136,48 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def around_pivots(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """rep, core: members of crowded buckets whose distance from the bucket's first member is at most half of what the threshold allows.
+
+    One minus the similarity is a metric, so two members of one core are linked without being compared; a hub of near copies
+    costs a comparison with its pivot for each copy. Of several pivots the least counts. A pivot's set goes to chunks of BLOCK members.
+    """
+    asked = members.where(F.col("members") > BLOCK).select("rep", F.col("first").alias("pivot")).distinct()
+    chunks = stored(asked.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")), "pivots")
+    held = sets.select("rep", "shingles")
+    rows = asked.join(chunks, "pivot").join(held, "rep").select("pivot", F.pmod(F.hash("rep"), F.col("chunks")).alias("chunk"), "rep", F.lit(1).alias("turn"), "shingles")
+    pivots = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("rep", F.col("pivot")).join(held, "rep")
+    order = ["pivot", "chunk"]
+    dealt_out = rows.unionByName(pivots.select("pivot", "chunk", "rep", F.lit(0).alias("turn"), "shingles"))
+    dealt_out = dealt_out.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order, "turn")
+    least = (1 + threshold) / 2 + 1e-9
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.uint64)
+        for b in batches:
+            out = []
+            for pivot, rep, turn, data in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                s = np.frombuffer(data, "<u8")
+                if turn == 0:
+                    mine = s
+                    continue
+                common = int((mine[np.minimum(np.searchsorted(mine, s), len(mine) - 1)] == s).sum())
+                if common >= least * (len(mine) + len(s) - common):
+                    out.append((rep, pivot))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["rep", "core"])
+
+    return stored(dealt_out.mapInArrow(near, "rep long, core long").groupBy("rep").agg(F.min("core").alias("core")), "cores")
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document id: id, class_id, copy_of, n_links, n_copies.
 
     class_id: least id that chains of links lead to; copy_of: least id with the same shingles; n_links: other documents
     with a similarity of at least the threshold, copies included; n_copies: documents with the same shingles, itself included.
-    Copies are one class from the start and are never paired. Buckets of a band are compared in blocks of BLOCK members, a pair
-    only in its first common band, and give sums and links to each block's roots, not pairs. Of buckets with equal members the
-    first is kept, which holds all their pairs.
+    Copies are one class from the start and are never paired, nor are near copies around one pivot, which are linked by the
+    triangle inequality. What else a bucket of a band holds is compared in blocks of BLOCK members, a pair only in its first
+    common band, and gives sums and links to each block's roots, not pairs. Of buckets with equal members the first is kept,
+    which holds all their pairs.
     Null or blank texts have no shingles and link with nothing, not with each other. Null ids give no row; rows of the same id
     count once, as their least text. An empty table gives an empty table.
     """
@@ -174,7 +209,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, i
 
     dealt = reps.select("rep", "bands").mapInArrow(deal, "band int, key long, rep long")
     buckets = dealt.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("members > 1")
-    kept = stored(buckets.groupBy("members", "first", "mark").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "members"), "buckets")
+    kept = stored(buckets.groupBy("members", "first", "mark").agg(F.min(F.struct("band", "key")).alias("bucket")).select("bucket.*", "members", "first"), "buckets")
     members = stored(dealt.join(kept, ["band", "key"]), "members")
     wanted = members.select("rep").distinct()
 
@@ -188,11 +223,22 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, i
 
     texts = rows.join(reps.join(wanted, "rep"), rows["k"] == F.col("rep")).select("rep", "text", "copies", "bands", "h1", "h2")
     sets = stored(texts.mapInArrow(shingled, "rep long, copies long, bands binary, shingles binary").dropDuplicates(["rep"]), "shingles")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
-    # Block i meets every block j: rows go to the tasks (i, j) with i <= j.
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    cores = around_pivots(members, sets, threshold)
+    members = members.select("band", "key", "rep").join(cores, "rep", "left").withColumn("core", F.coalesce("core", "rep"))
+    # Large cores of a bucket have blocks of their own, the rest are pooled; buckets of one core have nothing left to compare.
+    per_core = members.groupBy("band", "key", "core").agg(F.count("*").alias("n"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = F.collect_list(F.when(F.col("n") > BLOCK, F.struct("core", blocks_of(F.col("n")).alias("blocks"))))  # an entry for more than BLOCK members
+    shapes = per_core.groupBy("band", "key").agg(F.count("*").alias("cores"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("pool"), large.alias("large")).where("cores > 1")
+    placed = members.join(shapes, ["band", "key"]).withColumn("own", F.get(F.filter("large", lambda x: x["core"] == F.col("core")), F.lit(0))["blocks"])
+    place = lambda core, i: F.concat_ws(":", core, i)
+    placed = placed.withColumn("block", F.when(F.col("own").isNotNull(), place(F.col("core"), F.pmod(F.hash("rep"), F.col("own")))).otherwise(place(F.lit("pool"), F.pmod(F.hash("rep"), F.greatest(blocks_of(F.col("pool")), F.lit(1))))))
+    others = F.filter("large", lambda x: F.col("own").isNull() | (x["core"] != F.col("core")))
+    all_of = lambda core, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: place(core, i))
+    pooled = F.when(F.col("pool") > 0, all_of(F.lit("pool"), blocks_of(F.col("pool")))).otherwise(F.array().cast("array<string>"))
+    # Block i meets every block j but those of its own core: rows go to the tasks (i, j) with i <= j.
+    tasks = placed.withColumn("other", F.explode(F.concat(F.flatten(F.transform(others, lambda x: all_of(x["core"], x["blocks"]))), pooled)))
+    tasks = tasks.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "core")
     looks = least_matches(threshold, TOLERANCE)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +249,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, i
                 own = sorted((r for r in rows if r[4] == block), key=lambda r: r[5])
                 bands = np.frombuffer(b"".join(r[7] for r in own), "<u8").reshape(len(own), BANDS)
                 sets = [np.frombuffer(r[8], "<u8") for r in own]
-                sides.append({"rep": [r[5] for r in own], "copies": np.array([r[6] for r in own], np.int64), "bands": bands, "values": bands.view("<u2").reshape(len(own), BANDS * ROWS), "sets": sets, "size": np.array([len(s) for s in sets], np.int64)})
+                sides.append({"rep": [r[5] for r in own], "core": np.array([r[9] for r in own], np.int64), "copies": np.array([r[6] for r in own], np.int64), "bands": bands, "values": bands.view("<u2").reshape(len(own), BANDS * ROWS), "sets": sets, "size": np.array([len(s) for s in sets], np.int64)})
             a, b = sides[0], sides[-1]
             links = [np.zeros(len(s["rep"]), np.int64) for s in (a, b)] if i != j else [np.zeros(len(a["rep"]), np.int64)] * 2
             root = {r: r for s in sides for r in s["rep"]}
@@ -239,11 +285,15 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, i
         if group:
             yield send(list(work(group)))
 
-    dealt_out = tasks.join(sets, "rep").select("band", "key", "i", "j", "block", "rep", "copies", "bands", "shingles")
+    dealt_out = tasks.join(sets, "rep").select("band", "key", "i", "j", "block", "rep", "copies", "bands", "shingles", "core")
     order = ["band", "key", "i", "j"]
     found = stored(dealt_out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).mapInArrow(compare, "rep long, links long, root long"), "links")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    in_core = cores.join(classes.select("rep", "copies"), "rep")
+    of_core = in_core.groupBy("core").agg(F.sum("copies").alias("total"))
+    near = in_core.join(of_core, "core").select("rep", (F.col("total") - F.col("copies")).alias("links"))
+    sums = found.select("rep", "links").unionByName(near).groupBy("rep").agg(F.sum("links").alias("links"))
+    links = found.select("rep", "root").unionByName(cores.select("rep", F.col("core").alias("root")))
+    groups = components(links.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of = classes.join(sums, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of = stored(of.select("h1", "h2", "n", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component")), "classes-linked")
     out = one.join(of, ["h1", "h2", "n"], "left")

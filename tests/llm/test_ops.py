@@ -310,10 +310,14 @@ def test_ngram_join(spark):
     assert ngram_join.similar(docs(spark, [])).count() == 0
 
 
-def test_blocks_meet_once(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    r, base = random.Random(1), words(70, 60).split()
+@pytest.mark.parametrize("block", [7, 3, 256])
+def test_blocks_meet_once(spark, monkeypatch, block):
+    """Two hubs of near copies, closer and farther from their pivots, and what lies between them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r, base, other = random.Random(1), words(70, 60).split(), words(71, 200).split()
     rows = [(k, " ".join(w if r.random() > 0.02 else words(1000 + k, 1) for w in base)) for k in range(60)]
+    rows += [(100 + k, " ".join(w if r.random() > 0.004 * (k % 4) else words(2000 + k, 1) for w in other)) for k in range(60)]
+    rows += [(200 + k, rows[k][1]) for k in range(0, 30, 3)] + [(300, " ".join(other[:170] + base)), (301, " ".join(other[:180]))]
     sets = {i: plain_shingles(t) for i, t in rows}
     want = {i: sum(1 for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
     assert {g.doc_id: g.n_links for g in ngram_join.similar(docs(spark, rows)).collect()} == want
