@@ -136,7 +136,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, owner_col: str, max_own
     per_owner = each.select(F.col("c.hash").alias("hash"), "owner", "k").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
     rare = per_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories")).where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     rare = rare.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("rare"))
-    judged = each.withColumn("hash", F.col("c.hash")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(rare, ["hash", "salt"], "left")
+    judged = each.withColumn("hash", F.col("c.hash")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(rare.hint("merge"), ["hash", "salt"], "left")
     judged = judged.withColumn("rare", F.coalesce("rare", F.lit(False)))
     return found, judged.withColumn("live", F.col("rare") & ~F.col("c.placeholder"))
 
