@@ -2,10 +2,10 @@
 
 The most significant digit of a suffix is the GRAM bytes at an anchor. Each window of SPAN bytes has the anchor that holds
 the least hash of its grams, wherever the window stands, so only anchors (about one byte in fourteen) have to be ordered and
-shuffled: equal windows have equal anchors at equal places. The first pass deals anchors by that digit. Those of one document
-leave, and so do those whose whole surroundings (a 64-bit hash of all bytes that a window with this anchor can reach) agree.
-The rest are ordered by digits of eight bytes on both sides of the anchor, never deeper than SPAN bytes, in groups that split
-with each pass; a window is a pair of a group on the left and one on the right.
+shuffled: equal windows have equal anchors at equal places. The first pass deals anchors by a hash of that digit; those whose
+gram no other document has leave, which is all that hashes decide. The rest are ordered by their bytes, in digits of eight on
+both sides of the anchor, never deeper than SPAN bytes, in groups that split with each pass; a window is a pair of a group on
+the left and one on the right.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimp.llm.common import bound_batches, stored
+from palimp.llm.common import bound_batches, bucketed, stored
 
 GRAM = 24
 #: Most documents and bytes that are worked on together, bytes of them at a time, and anchors that one task of a pass should hold.
@@ -28,11 +28,6 @@ BATCH_DOCS, BATCH_BYTES, CHUNK_BYTES, BUCKET_ANCHORS = 512, 3 << 17, 1 << 18, 1
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-_BYTE = np.random.default_rng(20240301).integers(0, 2**63, 256, dtype=np.uint64)
-_BASE = 0xD1342543DE82EF95
-_powers: list[np.ndarray] = []
-
-
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on: of eight bytes by doubling, then of three times eight."""
     h, width = data.astype(np.uint64) + np.uint64(1), 1
@@ -46,21 +41,6 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Strings:
-    """Hashes of any part of data, from sums over powers of an odd base and their inverses."""
-
-    def __init__(self, data: np.ndarray):
-        if not _powers or len(_powers[0]) < len(data) + 1:
-            n = max(len(data) + 1, CHUNK_BYTES + 1)
-            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers[0][: len(data)], out=self.sums[1:])
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * _powers[1][start]
-        return (h ^ (h >> np.uint64(32))) * _MULT[0]
-
-
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Least or largest of each window of so many."""
     f, w = (np.minimum if least else np.maximum), 1
@@ -86,15 +66,15 @@ class Batch:
     """The documents of a batch in the order of their ids, and what all passes find again of them: anchors, and the kinds of anchors with equal surroundings.
 
     at: (chunk's first document, bytes, bounds) of each chunk; rows: chunk, place, document, bytes of surroundings on the left
-    and on the right of each anchor; kind: of each row; hashes, around, least: gram hash, hash of surroundings and least id of
-    each kind, ordered by bucket and hashes; parts: the kinds of each bucket.
+    and on the right of each anchor; kind: of each row; hashes, least, holder: gram hash, least id and a row with it of each
+    kind, ordered by bucket and gram; parts: the kinds of each bucket. Kinds are told apart by their bytes.
     """
 
     def __init__(self, ids: list, texts: list[bytes], span: int, buckets: int):
         self.span, self.left, self.right = span, span - GRAM, span
         self.order = order = sorted((k for k, i in enumerate(ids) if i is not None and len(texts[k]) >= span), key=lambda k: ids[k])
         self.texts, self.rank_ids = texts, np.array([ids[k] for k in order], np.int64)
-        self.at, rows, hashes, around = [], [np.zeros((0, 5), np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        self.at, rows, hashes = [], [np.zeros((0, 5), np.int64)], [np.zeros(0, np.uint64)]
         for first, data, bounds in self.chunks():
             p, h = anchors(data, span)
             doc = np.searchsorted(bounds, p, "right") - 1
@@ -103,20 +83,24 @@ class Batch:
             left, right = np.minimum(p - bounds[doc], self.left), np.minimum(bounds[doc + 1] - p, self.right)
             rows.append(np.stack([np.full(len(p), len(self.at)), p, doc + first, left, right], 1))
             hashes.append(h)
-            around.append(Strings(data).hashes(p - left, p + right) ^ ((left << 8 | right).astype(np.uint64) * _MULT[1]))
             self.at.append((first, data, bounds))
-        self.rows, h, c = np.concatenate(rows), np.concatenate(hashes), np.concatenate(around)
-        ids = self.rank_ids[self.rows[:, 2]] if len(h) else np.zeros(0, np.int64)
-        by = np.lexsort((c, h, h & np.uint64(buckets - 1)))
-        h, c = h[by], c[by]
-        new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
+        self.rows, h = np.concatenate(rows), np.concatenate(hashes)
+        # Rows of one gram that several have are ordered by their bytes; documents come in the order of their ids, so stably by those.
+        by = np.lexsort((h, h & np.uint64(buckets - 1)))
+        again = np.r_[False, h[by][1:] == h[by][:-1]] if len(h) else np.zeros(0, bool)
+        shared = np.flatnonzero(again | np.r_[again[1:], False]) if len(h) else np.zeros(0, np.int64)
+        new = ~again
+        if len(shared):
+            group = np.cumsum(~again[shared])
+            own = self.surroundings(by[shared])
+            order, depth = _depths(group, own)
+            by[shared] = by[shared][order]
+            new[shared] = depth < own.shape[1]
         starts = np.flatnonzero(new)
         self.kind = np.empty(len(h), np.int64)
         self.kind[by] = np.cumsum(new) - 1
-        self.hashes, self.around = h[starts], c[starts]
-        self.least = np.minimum.reduceat(ids[by], starts) if len(starts) else np.zeros(0, np.int64)
-        holder = by[np.lexsort((ids[by], self.kind[by]))][starts] if len(starts) else starts
-        self.holder = holder  # a row of each kind whose document has the least id
+        self.holder = by[starts]  # the first of each kind has the least id
+        self.hashes, self.least = h[self.holder], self.rank_ids[self.rows[self.holder, 2]] if len(h) else np.zeros(0, np.int64)
         cuts = np.searchsorted(self.hashes & np.uint64(buckets - 1), np.arange(buckets + 1, dtype=np.uint64))
         self.parts = {k: slice(a, b) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a}
 
@@ -132,10 +116,10 @@ class Batch:
             yield at, np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
             at = to
 
-    def surroundings(self, kinds: np.ndarray) -> np.ndarray:
-        """A record for each kind: bytes on the left (nearest first), bytes on the right, and how many of each lie in the document."""
-        out = np.zeros((len(kinds), self.left + self.right + 2), np.uint8)
-        chunk, p, _, left, right = self.rows[self.holder[kinds]].T
+    def surroundings(self, rows: np.ndarray) -> np.ndarray:
+        """A record for each of these rows: bytes on the left (nearest first), bytes on the right, and how many of each lie in the document."""
+        out = np.zeros((len(rows), self.left + self.right + 2), np.uint8)
+        chunk, p, _, left, right = self.rows[rows].T
         back, ahead = np.arange(1, self.left + 1), np.arange(self.right)
         for n, (_, data, _b) in enumerate(self.at):
             k = np.flatnonzero(chunk == n)
@@ -145,13 +129,13 @@ class Batch:
         out[:, -2], out[:, -1] = left, right
         return out
 
-    def cover(self, states: np.ndarray, masks: np.ndarray) -> list[np.ndarray]:
-        """Which bytes of each chunk go: all windows of kinds in state HELD and of later documents, and of each kind those with a bit o in its mask, from o bytes left of the anchor on."""
+    def cover(self, masks: np.ndarray) -> list[np.ndarray]:
+        """Which bytes of each chunk go: all windows of documents after the first that holds the kind, and of each kind those with a bit o in its mask, from o bytes left of the anchor on."""
         chunk, p, doc, left, right = self.rows.T
         low, high = np.maximum(0, self.span - right), np.minimum(self.left, left)
         valid = np.where(high >= low, (np.int64(1) << (high + 1)) - (np.int64(1) << low), 0)
         later = self.rank_ids[doc] > self.least[self.kind] if len(doc) else np.zeros(0, bool)
-        bits = np.where(later | (states[self.kind] == HELD), valid, masks[self.kind] & valid)
+        bits = np.where(later, valid, masks[self.kind] & valid)
         whole = (bits == valid) & (valid != 0)
         starts, ends, chunks = [(p - high)[whole]], [(p - low + self.span)[whole]], [chunk[whole]]
         some = np.flatnonzero((bits != 0) & ~whole)
@@ -202,23 +186,14 @@ def _depths(group: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.r_[-1, np.where(g[1:] == g[:-1], shared, -1)] if len(order) else np.zeros(0, np.int64)
 
 
-#: What a kind of anchor is after the first pass: nothing smaller holds its windows; a smaller document holds them all; windows have to be looked at.
-FREE, HELD, MIXED = 0, 1, 2
-
-
-def states_of(hashes: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The state of each kind from the gram hashes, the hashes of surroundings and the least ids of all kinds of a bucket."""
-    order = np.lexsort((ids, around, hashes))
-    h, c, i = hashes[order], around[order], ids[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    same = np.r_[True, first[1:] | (c[1:] != c[:-1])]
-    of_gram, of_kind = np.cumsum(first) - 1, np.cumsum(same) - 1
-    grams = np.flatnonzero(first)
-    one_document = np.minimum.reduceat(i, grams) == np.maximum.reduceat(i, grams)
-    one_kind = np.add.reduceat(same.astype(np.int64), grams) == 1
-    least = i[same][of_kind]
-    out = np.empty(len(order), np.uint8)
-    out[order] = np.where(i > least, HELD, np.where((one_document | one_kind)[of_gram], FREE, MIXED))
+def shared(grams: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the gram of each kind stands in another document too, from all kinds of a bucket: their gram hashes and least ids. Grams whose hashes agree by chance only add kinds to order."""
+    order = np.argsort(grams, kind="stable")
+    g, i = grams[order], ids[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    several = np.minimum.reduceat(i, starts) < np.maximum.reduceat(i, starts)
+    out = np.empty(len(g), bool)
+    out[order] = np.repeat(several, np.diff(np.r_[starts, len(g)]))
     return out
 
 
@@ -263,8 +238,10 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 (and with texts: kept, the bytes that stay).
 
     A byte goes if a string of span bytes that covers it also starts in a document with a smaller id. Documents are
-    written once in batches of a few hundred; the passes return to a batch two bits or a mask for each of its anchors. A batch
-    sends each anchor with the same surroundings once, so a passage in a third of all documents is no hot group.
+    written once in batches of a few hundred, dealt by batch for all that follows, so texts are shuffled once; the passes return
+    to a batch a bit or a mask for each of its anchors. A batch sends each kind of anchor once, however often its documents hold it.
+    All decisions are made on bytes. A gram that every batch holds makes a group with a record or more of each batch, the
+    largest that one task orders (README has figures).
     Null or empty text: 0 bytes, nothing goes. A null id is neither smaller nor larger than another, so its row stays
     whole and removes nothing; rows of the same id don't remove one another. An empty table gives an empty table.
     """
@@ -294,9 +271,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
             yield row()
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), text).mapInArrow(together, "batch long, k array<long>, text array<binary>, size long")
-    table = stored(rows, "batches")
+    table = bucketed(rows, "batches", "batch")
     total = table.agg(F.sum("size").alias("n")).first()["n"] or 0
-    # A bucket grows neither with the input nor with how often a passage repeats.
+    # A bucket doesn't grow with the input.
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, total * 2 / (span - GRAM + 2) / BUCKET_ANCHORS)))))
     bits = np.uint64(max(0, buckets.bit_length() - 1))
 
@@ -305,35 +282,34 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
         return Batch(ids, texts, span, buckets), ids, texts
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each batch's kinds by bucket: 32 bits of the gram hash beyond the bucket's, the hash of surroundings, the least id."""
+        """Each batch's kinds by bucket: 32 bits of the gram hash beyond the bucket's, the least id."""
         for several in batches:
             for n in range(several.num_rows):
                 t = several.slice(n, 1)
                 b, _, _ = opened(pa.table(t))
                 grams = (b.hashes >> bits).astype("<u4")
-                out = [(k, t.column("batch")[0].as_py(), grams[s].tobytes(), b.around[s].astype("<u8").tobytes(), *_narrow(b.least[s])) for k, s in b.parts.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["bucket", "batch", "grams", "around", "base", "ids", "width"])
+                out = [(k, t.column("batch")[0].as_py(), grams[s].tobytes(), *_narrow(b.least[s])) for k, s in b.parts.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], x) for k, x in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["bucket", "batch", "grams", "base", "ids", "width"])
 
     def judged(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(h, "<u4") for h in t.column("grams").to_pylist()]
-        states = states_of(np.concatenate(parts), np.frombuffer(b"".join(t.column("around").to_pylist()), "<u8"), _wide(t))
+        states = shared(np.concatenate(parts), _wide(t))
         bounds = np.cumsum([0, *map(len, parts)])
         own = [states[a:z] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
         keep = pa.array([k for k, m in enumerate(own) if m.any()], pa.int64())
-        packed = [np.packbits(np.stack([m == HELD, m == MIXED], 1)).tobytes() for m in own if m.any()]
+        packed = [np.packbits(m).tobytes() for m in own if m.any()]
         return pa.table({"batch": t.column("batch").take(keep), "phase": pa.array([1] * len(keep), pa.int32()), "bucket": t.column("bucket").take(keep), "reply": pa.array(packed, pa.binary())})
 
     def replied(b: Batch, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """State and mask of each kind of a batch."""
-        states, masks = np.zeros(len(b.hashes), np.uint8), np.zeros(len(b.hashes), np.int64)
+        """Of each kind of a batch whether its gram is shared, and its mask."""
+        states, masks = np.zeros(len(b.hashes), bool), np.zeros(len(b.hashes), np.int64)
         got = sorted(zip(*(replies.column(c).to_pylist() for c in ("phase", "bucket", "reply")), strict=True))
         for phase, bucket, reply in got:
             part = b.parts[bucket]
             if phase == 1:
-                flags = np.unpackbits(np.frombuffer(reply, np.uint8), count=2 * (part.stop - part.start)).reshape(-1, 2)
-                states[part] = flags[:, 0] * HELD + flags[:, 1] * MIXED
+                states[part] = np.unpackbits(np.frombuffer(reply, np.uint8), count=part.stop - part.start)
             else:
-                masks[part.start + np.flatnonzero(states[part] == MIXED)] = np.frombuffer(reply, "<i8")
+                masks[part.start + np.flatnonzero(states[part])] = np.frombuffer(reply, "<i8")
         return states, masks
 
     def next_digits(t: pa.Table, replies: pa.Table) -> pa.Table:
@@ -342,9 +318,9 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
             b, _, _ = opened(t)
             states, _ = replied(b, replies)
             for k, s in b.parts.items():
-                kinds = s.start + np.flatnonzero(states[s] == MIXED)
+                kinds = s.start + np.flatnonzero(states[s])
                 if len(kinds):
-                    out.append((k, t.column("batch")[0].as_py(), b.surroundings(kinds).tobytes(), *_narrow(b.least[kinds])))
+                    out.append((k, t.column("batch")[0].as_py(), b.surroundings(b.holder[kinds]).tobytes(), *_narrow(b.least[kinds])))
         return pa.table({c: pa.array([r[k] for r in out], x) for k, (c, x) in enumerate((("bucket", pa.int32()), ("batch", pa.int64()), ("records", pa.binary()), ("base", pa.int64()), ("ids", pa.binary()), ("width", pa.int32())))})
 
     def ordered(t: pa.Table) -> pa.Table:
@@ -356,8 +332,8 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
     def removed(t: pa.Table, replies: pa.Table) -> pa.Table:
         b, ids, data = opened(t)
         result = [(0, 0, None)] * len(ids)
-        states, masks = replied(b, replies)
-        for (first, chunk, bounds), gone in zip(b.at, b.cover(states, masks), strict=True):
+        _, masks = replied(b, replies)
+        for (first, chunk, bounds), gone in zip(b.at, b.cover(masks), strict=True):
             for k, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if (g := gone[a:z]).any():
                     result[b.order[first + k]] = (int(g.sum()), int(g[0]) + int((g[1:] & ~g[:-1]).sum()), chunk[a:z][~g].tobytes())
@@ -366,7 +342,7 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     reply = "batch long, phase int, bucket int, reply binary"
-    digits = table.mapInArrow(first_digits, "bucket int, batch long, grams binary, around binary, base long, ids binary, width int")
+    digits = table.mapInArrow(first_digits, "bucket int, batch long, grams binary, base long, ids binary, width int")
     one = stored(digits.groupBy("bucket").applyInArrow(judged, reply), "first-replies")
     records = table.groupBy("batch").cogroup(one.groupBy("batch")).applyInArrow(next_digits, "bucket int, batch long, records binary, base long, ids binary, width int")
     two = stored(records.groupBy("bucket").applyInArrow(ordered, reply), "second-replies")
