@@ -342,22 +342,23 @@ def test_review_pack_and_scores(log, tmp_path):
     assert 0.55 < lo < 0.60 and 0.97 < hi < 0.99 and review.bounds(0, 0) == (0.0, 0.0)
 
 
-def test_fetch(tmp_path):
+@pytest.mark.parametrize("ranges", [True, False])
+def test_fetch(spark, tmp_path, ranges):
     import gzip
     import threading
-    import zipfile
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
     from palimp.sources import fetch
 
-    data = gzip.compress(b"line\n" * 5000)
+    data, asked = gzip.compress(random.Random(1).randbytes(25_000)), []
 
     class Server(BaseHTTPRequestHandler):
         def do_GET(self):
-            at = int(self.headers.get("Range", "bytes=0-")[6:-1])
-            self.send_response(416 if at >= len(data) else 206 if at else 200)
+            first, last = map(int, self.headers["Range"][6:].split("-")) if ranges else (0, len(data))
+            asked.append(first)
+            self.send_response(416 if first >= len(data) else 206 if ranges else 200)
             self.end_headers()
-            self.wfile.write(data[at:])
+            self.wfile.write(data[first : last + 1])
 
         def log_message(self, *_):
             pass
@@ -365,17 +366,26 @@ def test_fetch(tmp_path):
     server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     url = f"http://127.0.0.1:{server.server_port}/x/events.jsonl.gz"
-    for have in (0, 10, len(data)):
-        (tmp_path / "events.jsonl.gz.part").write_bytes(data[:have])
-        (path,) = fetch.fetch("test", [url], tmp_path)
-        assert path.read_bytes() == data
-    assert len(list(tmp_path.glob("SNAPSHOT*.json"))) >= 1
-    entry = json.loads((tmp_path / "SNAPSHOT.json").read_text())["files"][0]
-    assert entry["unpacked_bytes"] == 25000 and fetch.described(path, url, {"events.jsonl": "0"})["matches_expected"] is False
-    assert fetch.fetch("test", [url], tmp_path / "none", dry_run=True) and not (tmp_path / "none").exists()
+    for size in (4096, len(data), 1 << 20):  # pieces, one that ends where the file does, and a short one
+        asked.clear()
+        begun = fetch.Pieces(tmp_path / "part.gz", size)
+        begun.add(data[:size])
+        assert begun.fetch(url).read_bytes() == data and (0 not in asked or not ranges) and not begun.folder.exists()
+    (path,) = fetch.fetch([url], tmp_path)
+    assert path.name == "events.jsonl.gz" and fetch.facts(path)["events.jsonl"].bytes == 25_000
     with pytest.raises(ValueError):
-        fetch.unpacked_digest(path, 100)
+        fetch.facts(path, 25_000 - 1)
     server.shutdown()
+    table = str(tmp_path / "snapshots")
+    first, second = (fetch.note(spark, table, source, [path], terms="none").first() for source in ("a", "b"))
+    assert first.snapshot_id == second.snapshot_id and spark.read.parquet(table).count() == 2 and [f.name for f in first.files] == ["events.jsonl.gz", "events.jsonl"]
+    assert fetch.mismatched(spark, table, {"events.jsonl": "0", "events.jsonl.gz": first.files[0].sha256}).count() == 2
+
+
+def test_unpack(tmp_path):
+    import zipfile
+
+    from palimp.sources import fetch
 
     def archive(**members):
         with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
@@ -383,12 +393,13 @@ def test_fetch(tmp_path):
                 z.writestr(k, v)
         return tmp_path / "a.zip"
 
-    assert [p.name for p in fetch.unzip(archive(**{"p/all.csv": b"1", "p/other.csv": b"2"}), tmp_path / "z", ["all*"], 100)] == ["all.csv"]
+    assert [p.relative_to(tmp_path / "z").as_posix() for p in fetch.unpack(archive(**{"p/all.csv": b"1", "p/other.csv": b"2"}), tmp_path / "z", ["all*"], 100)] == ["p/all.csv"]
     for evil in ("../e.csv", "/abs/e.csv", "C:/e.csv", "p/../../e.csv"):
         with pytest.raises(ValueError, match="unsafe"):
-            fetch.unzip(archive(**{evil: b"x"}), tmp_path / "z", ["*"], 100)
+            fetch.unpack(archive(**{"fine.csv": b"y", evil: b"x"}), tmp_path / "y", ["*"], 100)
     with pytest.raises(ValueError, match="limit"):
-        fetch.unzip(archive(big=b"0" * 500), tmp_path / "z", ["*"], 100)
+        fetch.unpack(archive(big=b"0" * 500), tmp_path / "y", ["*"], 100)
+    assert not (tmp_path / "y").exists()
 
 
 def test_command_line(spark, tmp_path, capsys):
