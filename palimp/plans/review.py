@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 import random
-from collections import defaultdict
-from math import sqrt
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimp.model import Corpus
@@ -20,18 +19,30 @@ DECISIONS = ("accepted", "rejected", "unclear")
 REVIEW = "review_id string, edge_id string, reviewer string, decision string, note string, created_at timestamp_ntz"
 SIZES = {"edges": 20, "candidates": 20, "extractions": 20, "lineage": 10, "cues": 20, "exchanges": 10, "references": 20, "questions": 3}
 HIDDEN = ("classification", "similarity", "category", "evidence_tier", "temporal_status", "resolved", "support", "status", "novelty")
-#: What a section's marks count for: measure (with columns of the row), and the first answers that are hits. The second list is of second answers.
-MEASURES = {
-    "edges": [("{relation} (all)", ("accept",)), ("{relation} / {temporal_status}", ("accept",)), ("{relation}: uncertain", ("uncertain",))],
-    "candidates": [("{relation} (all)", ("accept",)), ("{relation}: uncertain", ("uncertain",))],
-    "extractions": [("extraction (all)", ("yes",)), ("extraction / {artifact_type}", ("yes",))],
-    "lineage": [("lineage (all)", None), ("lineage / {classification}", None)],
-    "cues": [("cues (all)", ("yes",)), ("cues / {category}", ("yes",)), ("cues: yes or partly", ("yes", "partly"))],
-    "exchanges": [("exchanges", ("yes",)), ("exchanges: yes or partly", ("yes", "partly"))],
-    "references": [("references (all)", ("yes",)), ("references / {ref_type}", ("yes",))],
-    "questions": [("answers (all)", ("correct",)), ("answers / {question}", ("correct",))],
-}
-SECOND = {"edges": ("{relation}: text shows a handoff", ("explicit",)), "extractions": ("extractions: distinctive", ("distinctive",)), "exchanges": ("exchanges: answers or timing", ("answers", "timing"))}
+#: What answers count for, as section, turn of the answer, name of the measure and what is a hit, in SQL over the row's facts and its answer.
+MEASURES = [
+    ("edges", "first", "{relation} || ' (all)'", "answer = 'accept'"),
+    ("edges", "first", "{relation} || ' / ' || {temporal_status}", "answer = 'accept'"),
+    ("edges", "first", "{relation} || ': uncertain'", "answer = 'uncertain'"),
+    ("edges", "second", "{relation} || ': text shows a handoff'", "answer = 'explicit'"),
+    ("candidates", "first", "{relation} || ' (all)'", "answer = 'accept'"),
+    ("candidates", "first", "{relation} || ': uncertain'", "answer = 'uncertain'"),
+    ("extractions", "first", "'extraction (all)'", "answer = 'yes'"),
+    ("extractions", "first", "'extraction / ' || {artifact_type}", "answer = 'yes'"),
+    ("extractions", "second", "'extractions: distinctive'", "answer = 'distinctive'"),
+    ("lineage", "first", "'lineage (all)'", "answer = {wanted}"),
+    ("lineage", "first", "'lineage / ' || {classification}", "answer = {wanted}"),
+    ("cues", "first", "'cues (all)'", "answer = 'yes'"),
+    ("cues", "first", "'cues / ' || {category}", "answer = 'yes'"),
+    ("cues", "first", "'cues: yes or partly'", "answer in ('yes', 'partly')"),
+    ("exchanges", "first", "'exchanges'", "answer = 'yes'"),
+    ("exchanges", "first", "'exchanges: yes or partly'", "answer in ('yes', 'partly')"),
+    ("exchanges", "second", "'exchanges: answers or timing'", "answer in ('answers', 'timing')"),
+    ("references", "first", "'references (all)'", "answer = 'yes'"),
+    ("references", "first", "'references / ' || {ref_type}", "answer = 'yes'"),
+    ("questions", "first", "'answers (all)'", "answer = 'correct'"),
+    ("questions", "first", "'answers / ' || {question}", "answer = 'correct'"),
+]
 LINEAGE_ANSWER = {"inherited": "same", "restored": "same", "modified": "edit", "new": "new", "first_observed": "new"}
 
 
@@ -84,12 +95,33 @@ def wilson(hits: DataFrame, z: float = 1.96) -> DataFrame:
     return hits.withColumn("share", F.when(n > 0, F.round(p, 4))).withColumn("low", bound(middle - spread)).withColumn("high", bound(middle + spread))
 
 
-def score(marks: DataFrame) -> DataFrame:
-    """marks: section, id, reviewer, mark (right, wrong, unclear) -> section, hits, n, share, low, high, agreed, both (rows that two reviewers marked)."""
-    clear = marks.where("mark in ('right', 'wrong')")
-    per = clear.groupBy("section").agg(F.count_if(F.col("mark") == "right").alias("hits"), F.count("*").alias("n"))
-    two = marks.groupBy("section", "id").agg(F.count("*").alias("k"), F.count_distinct("mark").alias("different")).where("k >= 2").groupBy("section").agg(F.count_if(F.col("different") == 1).alias("agreed"), F.count("*").alias("both"))
-    return wilson(per).join(two, "section", "left").fillna(0, ["agreed", "both"])
+def marks(spark: SparkSession, key: dict, reviews: list[dict]) -> DataFrame:
+    """One row per answer: section, number, facts (what the key says), reviewer, turn, answer; answers to numbers that the key lacks don't count."""
+    facts = [(r["number"], r["section"], {k: str(v) for k, v in r.items() if v is not None} | {"wanted": LINEAGE_ANSWER.get(r.get("classification"), "")}) for r in key["items"]]
+    given = [(n, x["reviewer"], turn, answers[turn]) for x in reviews for n, answers in x["results"].items() for turn in ("first", "second") if answers.get("first") and answers.get(turn)]
+    rows = spark.createDataFrame(facts, "number string, section string, facts map<string,string>")
+    return spark.createDataFrame(given, "number string, reviewer string, turn string, answer string").join(rows, "number")
+
+
+def tally(marks: DataFrame) -> DataFrame:
+    """measure, hits, n, share, low, high over all reviewers."""
+    sql = lambda text: F.expr(re.sub(r"\{(\w+)\}", r"facts['\1']", text))
+    counts = F.array(*(F.when((F.col("section") == section) & (F.col("turn") == turn), F.struct(sql(name).alias("measure"), sql(hit).alias("hit"))) for section, turn, name, hit in MEASURES))
+    each = marks.select(F.explode(F.filter(counts, lambda x: x.isNotNull())).alias("x"))
+    return wilson(each.groupBy("x.measure").agg(F.count_if("x.hit").alias("hits"), F.count("*").alias("n")))
+
+
+def agreement(marks: DataFrame) -> DataFrame:
+    """section, agreed, both: how often reviewers who answered the same row first answered alike."""
+    two = marks.where("turn = 'first'").groupBy("section", "number").agg(F.count_distinct("reviewer").alias("k"), F.count_distinct("answer").alias("different")).where("k >= 2")
+    return two.groupBy("section").agg(F.count_if(F.col("different") == 1).alias("agreed"), F.count("*").alias("both"))
+
+
+def scores(marks: DataFrame) -> str:
+    """The tally as Markdown with 95 % intervals."""
+    lines = [f"| {r.measure} | {r.hits}/{r.n} | {r.low:.2f}-{r.high:.2f} |" for r in tally(marks).orderBy("measure").collect()]
+    alike = [f"- {r.section}: {r.agreed}/{r.both}" for r in agreement(marks).orderBy("section").collect()]
+    return "\n".join(["| Measure | Hits | 95 % |", "|---|---|---|", *lines, *(["", "Agreement of reviewers:", "", *alike] if alike else [])]) + "\n"
 
 
 def write_pack(c: Corpus, folder: str, sizes: dict[str, int] = SIZES, seed: str = "7") -> list[dict]:
@@ -112,55 +144,6 @@ def write_pack(c: Corpus, folder: str, sizes: dict[str, int] = SIZES, seed: str
     return key
 
 
-def bounds(hits: int, n: int, z: float = 1.96) -> tuple[float, float]:
-    if not n:
-        return 0.0, 0.0
-    p, over = hits / n, 1 + z * z / n
-    middle, spread = p + z * z / (2 * n), z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return max(0.0, (middle - spread) / over), min(1.0, (middle + spread) / over)
-
-
-def tally(key: dict, reviews: list[dict]) -> tuple[dict[str, tuple[int, int]], dict[str, tuple[int, int]]]:
-    """Hits and marks by measure over all reviewers ({"reviewer", "results": {number: {"first", "second"}}}), and by section how often the first two agree."""
-    items = {r["number"]: r for r in key["items"]}
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-
-    def add(name: str, row: dict, hit: bool) -> None:
-        n = counts[name.format(**row)]
-        n[0] += hit
-        n[1] += 1
-
-    for review in reviews:
-        for number, given in review["results"].items():
-            row, first, second = items.get(number), given.get("first"), given.get("second")
-            if row is None or not first:
-                continue
-            for name, right in MEASURES[row["section"]]:
-                add(name, row, first in right if right else first == LINEAGE_ANSWER.get(row["classification"]))
-            if second and row["section"] in SECOND:
-                name, right = SECOND[row["section"]]
-                add(name, row, second in right)
-    agreed: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    if len(reviews) >= 2:
-        a, b = reviews[0]["results"], reviews[1]["results"]
-        for number in a.keys() & b.keys() & items.keys():
-            if a[number].get("first") and b[number].get("first"):
-                n = agreed[items[number]["section"]]
-                n[0] += a[number]["first"] == b[number]["first"]
-                n[1] += 1
-    return {k: tuple(v) for k, v in counts.items()}, {k: tuple(v) for k, v in agreed.items()}
-
-
-def scores(key: dict, reviews: list[dict]) -> str:
-    """The tally as Markdown with 95 % intervals."""
-    counts, agreed = tally(key, reviews)
-    line = lambda name, n: f"| {name} | {n[0]}/{n[1]} | {bounds(*n)[0]:.2f}-{bounds(*n)[1]:.2f} |"
-    out = ["| Measure | Hits | 95 % |", "|---|---|---|", *(line(k, counts[k]) for k in sorted(counts))]
-    if agreed:
-        out += ["", f"Agreement of {reviews[0]['reviewer']} and {reviews[1]['reviewer']}:", "", *(f"- {k}: {v[0]}/{v[1]}" for k, v in sorted(agreed.items()))]
-    return "\n".join(out) + "\n"
-
-
 def record(c: Corpus, path: str, edge_id: str, reviewer: str, decision: str, note: str = "") -> str:
     """Append one decision. KeyError for an unknown edge, ValueError for an unknown decision."""
     if decision not in DECISIONS:

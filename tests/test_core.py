@@ -169,6 +169,11 @@ def test_questions_and_pages(log):
     given = cases.answers(log, a)
     assert [g["id"] for g in given] == ["earliest", "introducers", "activity", "spread", "references", "resemble", "changes", "warnings", "alternatives", "unreconstructable"]
     assert given[0]["citations"][0]["snippet"] == URL and given[0]["status"] == "supported"
+    by = {g["id"]: g for g in given}
+    assert by["introducers"]["claim"] == "2 label(s) wrote it in new text: Alpha 3; Beta 2." and by["spread"]["claim"].startswith("First ") and by["spread"]["claim"].endswith("2 label(s) in all.")
+    assert by["alternatives"]["claim"] == "2 of 7 occurrences are carried forward." and by["warnings"]["status"] == "unknown" and by["unreconstructable"]["claim"].startswith("2 gaps in the event sequence; ")
+    every = {(r.artifact_id, r.id): r for r in cases.answer_table(log).collect()}
+    assert all(every[a, g["id"]].claim == g["claim"] and every[a, g["id"]].status == g["status"] for g in given) and len({k for k, _ in every}) == log["artifact"].count()
     assert cases.unresolved_citations(log, given) == []
     given[0]["citations"][0]["span_start"] += 1
     assert len(cases.unresolved_citations(log, given)) == 1
@@ -259,9 +264,6 @@ def test_exports_and_reviews(spark, log, tmp_path):
     assert pack["edges"].count() == 1 and pack["lineage"].count() > 0 and "classification" not in review.blind(pack["lineage"]).columns
     near = review.predecessors(log).where("item_id = 'av:mem:m2' and rank = 1").collect()
     assert near and max(r.score for r in near) > 80
-    marks = spark.createDataFrame([("s", "1", "a", "right"), ("s", "1", "b", "right"), ("s", "2", "a", "wrong"), ("s", "2", "b", "right"), ("s", "3", "a", "unclear")], "section string, id string, reviewer string, mark string")
-    s = review.score(marks).first()
-    assert (s.hits, s.n, s.agreed, s.both) == (3, 4, 1, 2) and s.low < 0.75 < s.high
     w = review.wilson(spark.createDataFrame([(0, 0), (10, 10)], "hits long, n long")).collect()
     assert w[0].share is None and w[1].high == 1.0 and abs(w[1].low - 0.7225) < 1e-3
 
@@ -325,7 +327,7 @@ def test_constants():
     assert references.NAME_CHARS == 8
 
 
-def test_review_pack_and_scores(log, tmp_path):
+def test_review_pack_and_scores(spark, log, tmp_path):
     key = review.write_pack(log, str(tmp_path))
     assert [k["number"] for k in key][:2] == ["R001", "R002"] and {k["section"] for k in key} >= {"edges", "extractions", "lineage", "questions"}
     page = (tmp_path / "review_pack.html").read_text()
@@ -334,12 +336,13 @@ def test_review_pack_and_scores(log, tmp_path):
     assert key == review.write_pack(log, str(tmp_path))
     edge, line = (next(k["number"] for k in key if k["section"] == s) for s in ("edges", "lineage"))
     right = review.LINEAGE_ANSWER[next(k for k in key if k["number"] == line)["classification"]]
-    marks = [{"reviewer": "A", "results": {edge: {"first": "accept", "second": "none"}, line: {"first": right}}}, {"reviewer": "B", "results": {edge: {"first": "uncertain"}, line: {"first": right}, "R999": {"first": "x"}}}]
-    counts, agreed = review.tally({"items": key}, marks)
-    assert counts["same_content (all)"] == (1, 2) and counts["same_content: uncertain"] == (1, 2) and counts["same_content: text shows a handoff"] == (0, 1) and counts["lineage (all)"] == (2, 2)
-    assert agreed == {"edges": (0, 1), "lineage": (1, 1)} and "1/2" in review.scores({"items": key}, marks)
-    lo, hi = review.bounds(9, 10)
-    assert 0.55 < lo < 0.60 and 0.97 < hi < 0.99 and review.bounds(0, 0) == (0.0, 0.0)
+    given = [{"reviewer": "A", "results": {edge: {"first": "accept", "second": "none"}, line: {"first": right}}}, {"reviewer": "B", "results": {edge: {"first": "uncertain"}, line: {"first": right}, "R999": {"first": "x"}}}]
+    marks = review.marks(spark, {"items": key}, given)
+    counts = {r.measure: (r.hits, r.n) for r in review.tally(marks).collect()}
+    kind = next(k["classification"] for k in key if k["number"] == line)
+    status = next(k["temporal_status"] for k in key if k["number"] == edge)
+    assert counts == {"same_content (all)": (1, 2), f"same_content / {status}": (1, 2), "same_content: uncertain": (1, 2), "same_content: text shows a handoff": (0, 1), "lineage (all)": (2, 2), f"lineage / {kind}": (2, 2)}
+    assert {r.section: (r.agreed, r.both) for r in review.agreement(marks).collect()} == {"edges": (0, 1), "lineage": (1, 1)} and "| 1/2 |" in review.scores(marks) and "- lineage: 1/1" in review.scores(marks)
 
 
 @pytest.mark.parametrize("ranges", [True, False])
