@@ -28,36 +28,37 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def sums_before(numbers: Column) -> Column:
-    """For each element of an array of ints the sum of those before it. Sums are kept in chunks of about the root of the size, as appending to an array copies it."""
-    def of(a: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(a))).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.size(a) - 1, width), lambda at: F.slice(a, at + 1, width))
-        total = lambda x: F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+#: Elements that are gathered before they are set aside: appending to an array copies it.
+CHUNK = 256
+
 
-        def step(acc: Column, n: Column) -> Column:
-            return F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+def _gathered(array: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column, Column]], kind: str) -> Column:
+    """An array built from left to right. step gives from the state and an element the next state, whether something is added, and what."""
+    zero = F.struct(*(v.alias(k) for k, v in state.items()), F.array().cast(kind).alias("out"), F.array().cast(f"array<{kind}>").alias("done"))
 
-        def within(chunks: Column, totals: Column) -> Column:
-            return F.flatten(F.transform(chunks, lambda x, i: F.aggregate(x, F.struct(total(F.slice(totals, F.lit(1), i)).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]))
+    def merge(acc: Column, x: Column) -> Column:
+        after, adds, one = step(acc, x)
+        full = adds & (F.size(acc["out"]) >= CHUNK)
+        out = F.when(full, F.array(one)).when(adds, F.array_append(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(*(v.alias(k) for k, v in after.items()), out.alias("out"), F.when(full, F.array_append(acc["done"], acc["out"])).otherwise(acc["done"]).alias("done"))
 
-        return let(cut, lambda chunks: let(F.transform(chunks, total), lambda totals: within(chunks, totals)))
+    return F.aggregate(array, zero, merge, lambda acc: F.when(F.size(acc["done"]) > 0, F.flatten(F.array_append(acc["done"], acc["out"]))).otherwise(acc["out"]))
 
-    return let(numbers, lambda a: F.when(F.size(a) > 0, of(a)).otherwise(F.array().cast("array<int>")))
+
+def sums_before(numbers: Column) -> Column:
+    """For each element of an array of ints the sum of those before it."""
+    return _gathered(numbers, {"at": F.lit(0)}, lambda acc, n: ({"at": acc["at"] + n}, F.lit(True), acc["at"]), "array<int>")
 
 
 def spans(text: Column, pattern: str) -> Column:
     """start, end, raw and line (its number from 0) of all matches, left to right; positions and lines are sums over gaps and matches, so a text is read once whatever it holds."""
-    lines = lambda part: F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
-
-    def of(parts: Column) -> Column:
-        at, line = sums_before(F.transform(parts, F.length)), sums_before(F.transform(parts, lines))
-        one = lambda part, p: F.struct(p["at"].alias("start"), (p["at"] + F.length(part)).alias("end"), part.alias("raw"), p["line"].alias("line"))
-        whole = F.zip_with(parts, F.zip_with(at, line, lambda a, n: F.struct(a.alias("at"), n.alias("line"))), one)
-        return F.filter(whole, lambda _, i: i % 2 == 1)
+    def step(acc: Column, part: Column) -> tuple[dict[str, Column], Column, Column]:
+        end = acc["at"] + F.length(part)
+        line = acc["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("raw"), acc["line"].alias("line"))
+        return {"at": end, "line": line, "match": ~acc["match"]}, acc["match"], one
 
-    found = let(_cut(text, pattern), lambda parts: F.when(F.size(parts) > 1, of(parts)))
-    return F.coalesce(found, F.when(text.isNotNull(), F.array().cast(_SPANS)))
+    return _gathered(_cut(text, pattern), {"at": F.lit(0), "line": F.lit(0), "match": F.lit(False)}, step, _SPANS)
 
 
 def blanked(text: Column, pattern: str) -> Column:

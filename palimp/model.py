@@ -77,26 +77,29 @@ class Corpus:
         return self.derived[name]
 
 
-EPOCH = "2024-01-01 00:00:00"
+EPOCH, HEAD = "2024-01-01 00:00:00", 64
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The driver's tables as a corpus: documents are versions in one stream per language (ordered by text, so near copies follow one another), page addresses and
+    """The driver's tables as a corpus: documents are versions in one stream per language (ordered by their first HEAD characters, so near copies follow one another), page addresses and
     conversation turns are standalone items, events are events."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    minutes = lambda n: F.expr(f"timestamp_ntz'{EPOCH}' + make_dt_interval(0, 0, {n}, 0)")
-    docs = read("documents").withColumn("stream_seq", F.row_number().over(Window.partitionBy("lang").orderBy("text", "doc_id")).cast("long"))
+    minutes = lambda n: F.expr(f"timestampadd(MINUTE, {n}, timestamp_ntz'{EPOCH}')")
+    # The order is made of ids and the first characters; texts stay out of the windows.
+    heads = read("documents").select("doc_id", "lang", F.substring("text", 1, HEAD).alias("head"))
+    seq = heads.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("head", "doc_id")).cast("long").alias("stream_seq"))
+    docs = read("documents").join(seq, "doc_id")
     docs = docs.select(
         F.format_string("doc:item:%d", "doc_id").alias("item_id"), F.lit("document").alias("kind"), F.concat(F.lit("doc:source:"), "source").alias("actor_label_id"),
-        minutes("cast(doc_id as int)").alias("time_ts"), "text", F.concat(F.lit("lang:"), "lang").alias("stream_key"), "stream_seq", F.lit("documents").alias("source_table"),
+        minutes("doc_id").alias("time_ts"), "text", F.concat(F.lit("lang:"), "lang").alias("stream_key"), "stream_seq", F.lit("documents").alias("source_table"),
     )
     pages = read("pages").select(
         F.format_string("page:item:%d", "page_id").alias("item_id"), F.lit("page_url").alias("kind"), F.concat(F.lit("page:lang:"), F.regexp_extract("url", "://[^/]+/([a-z]+)/", 1)).alias("actor_label_id"),
-        minutes("cast(page_id as int)").alias("time_ts"), F.col("url").alias("text"), F.lit("pages").alias("source_table"),
+        minutes("page_id").alias("time_ts"), F.col("url").alias("text"), F.lit("pages").alias("source_table"),
     )
     turns = read("conversations").select(
         F.format_string("conv:item:%d:%d", "conv_id", "turn").alias("item_id"), F.lit("chat").alias("kind"), F.concat(F.lit("conv:role:"), "role").alias("actor_label_id"),
-        minutes("cast(conv_id * 60 + turn as int)").alias("time_ts"), "text", F.lit("conversations").alias("source_table"),
+        minutes("conv_id * 60 + turn").alias("time_ts"), "text", F.lit("conversations").alias("source_table"),
     )
     items = text_items(docs.unionByName(pages, True).unionByName(turns, True))
     events = shaped(read("events").select(F.format_string("ev:%d", "event_id").alias("event_id"), F.col("event_id").alias("event_index"), F.col("event_type").alias("kind"), F.format_string("user:%d", "user_id").alias("actor_label_id"), F.col("ts").cast("timestamp_ntz").alias("time_ts"), F.lit("events").alias("source_file")), "event")

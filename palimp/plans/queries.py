@@ -51,7 +51,7 @@ def built(spark: SparkSession, sf: str) -> Corpus:
 
 # The model in SQL.
 ITEMS = """items AS (
-  SELECT 'doc:item:' || doc_id AS item_id, 'document' AS kind, 'doc:source:' || source AS label, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS ts, text, 'lang:' || lang AS stream, row_number() OVER (PARTITION BY lang ORDER BY text, doc_id) AS pos, lang AS topic FROM documents
+  SELECT 'doc:item:' || doc_id AS item_id, 'document' AS kind, 'doc:source:' || source AS label, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS ts, text, 'lang:' || lang AS stream, row_number() OVER (PARTITION BY lang ORDER BY substr(text, 1, 64), doc_id) AS pos, lang AS topic FROM documents
   UNION ALL SELECT 'page:item:' || page_id, 'page_url', 'page:lang:' || regexp_extract(url, '://[^/]+/([a-z]+)/', 1), TIMESTAMP '2024-01-01' + to_minutes(page_id), url, NULL, NULL, 'unclassified' FROM pages
   UNION ALL SELECT 'conv:item:' || conv_id || ':' || turn, 'chat', 'conv:role:' || role, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 60 + turn), text, NULL, NULL, 'unclassified' FROM conversations)"""
 LINES = ITEMS + r""", raw_lines AS (
@@ -61,6 +61,21 @@ lines AS (SELECT * FROM all_lines WHERE stream IS NOT NULL AND raw <> ''),
 known AS (SELECT stream, raw, pos, lag(pos) OVER (PARTITION BY stream, raw ORDER BY pos) AS before FROM (SELECT DISTINCT stream, raw, pos FROM lines)),
 classes AS (SELECT l.*, CASE WHEN l.pos = 1 THEN 'first_observed' WHEN before = l.pos - 1 THEN 'inherited' WHEN before IS NOT NULL THEN 'restored' ELSE 'new' END AS class FROM lines l JOIN known k USING (stream, raw, pos)),
 new_lines AS (SELECT item_id, label, ts, topic, raw, line_no FROM classes WHERE class IN ('new', 'first_observed') UNION ALL SELECT item_id, label, ts, topic, raw, line_no FROM all_lines WHERE stream IS NULL)"""
+#: The similarity of edits: the common subsequence by bits, 60 characters of the old line in a word, one step of a reduction for each character of the new one.
+MASK = (1 << 60) - 1
+EDITS = LINES + f""", seen AS (SELECT stream, raw, pos, lead(pos) OVER (PARTITION BY stream, raw ORDER BY pos) AS after FROM (SELECT DISTINCT stream, raw, pos FROM lines)),
+gone AS (SELECT stream, pos + 1 AS pos, raw AS old FROM seen WHERE after IS NULL OR after > pos + 1),
+fresh AS (SELECT DISTINCT stream, pos, raw FROM classes WHERE class = 'new' AND length(raw) >= 20),
+pairs AS MATERIALIZED (SELECT raw, old, row_number() OVER () AS id FROM (SELECT DISTINCT raw, old FROM fresh JOIN gone USING (stream, pos) WHERE least(length(raw), length(old)) * 200.0 >= 80 * (length(raw) + length(old)))),
+a_chars AS MATERIALIZED (SELECT id, unnest(string_split(raw, '')) AS c, unnest(range(length(raw))) AS i FROM pairs), b_chars AS MATERIALIZED (SELECT id, unnest(string_split(old, '')) AS c, unnest(range(length(old))) AS i FROM pairs),
+near AS MATERIALIZED (SELECT id, raw, old FROM (SELECT id, c, count(*) AS k FROM a_chars GROUP BY ALL) x JOIN (SELECT id, c, count(*) AS k FROM b_chars GROUP BY ALL) y USING (id, c) JOIN pairs USING (id) GROUP BY id, raw, old HAVING sum(least(x.k, y.k)) * 200.0 >= 80 * (length(raw) + length(old))),
+words AS (SELECT id, unnest(range((length(old) + 59) // 60)) AS word FROM near), bits AS (SELECT id, c, i // 60 AS word, sum(1::UBIGINT << (i % 60))::UBIGINT AS bits FROM b_chars WHERE id IN (SELECT id FROM near) GROUP BY ALL),
+masks AS MATERIALIZED (SELECT id, c, list(coalesce(bits, 0::UBIGINT) ORDER BY word) AS m FROM (SELECT DISTINCT id, c FROM a_chars WHERE id IN (SELECT id FROM near)) JOIN words USING (id) LEFT JOIN bits USING (id, c, word) GROUP BY ALL),
+walk AS MATERIALIZED (SELECT id, list(m ORDER BY i) AS l FROM a_chars JOIN masks USING (id, c) GROUP BY id),
+done AS (SELECT id, raw, old, list_reduce(l, lambda v, m: list_transform([list_transform(range(1, len(v) + 1), lambda i: v[i] + (v[i] & m[i]))], lambda s: list_transform(range(1, len(v) + 1), lambda i:
+  ((s[i] + coalesce(s[list_max(list_filter(range(1, i), lambda j: s[j] <> {MASK}))] >> 60, 0)) & {MASK}::UBIGINT) | (v[i] & ({MASK}::UBIGINT - m[i]))))[1], list_transform(range((length(old) + 59) // 60), lambda x: {MASK}::UBIGINT)) AS v FROM walk JOIN near USING (id)),
+scored AS (SELECT raw, old, 200.0 * (length(old) - list_sum(list_transform(range(1, len(v) + 1), lambda i: bit_count(v[i] & CASE WHEN i < len(v) OR length(old) % 60 = 0 THEN {MASK}::UBIGINT ELSE (1::UBIGINT << (length(old) % 60)) - 1 END)))) / (length(raw) + length(old)) AS score FROM done),
+edit AS (SELECT stream, pos, raw, round(max(score) / 100, 4) AS similarity FROM fresh JOIN gone USING (stream, pos) JOIN scored USING (raw, old) WHERE score >= 80 GROUP BY ALL)"""
 HITS = LINES + r""", runs AS (
   SELECT item_id, label, ts, stream, line_no, unnest(regexp_extract_all(raw, '[0-9a-fA-F-]+')) AS run FROM all_lines),
 url_items AS (SELECT item_id, label, ts, regexp_replace(text, '[.,;:!?]+$', '') AS raw FROM items WHERE kind = 'page_url' AND regexp_full_match(text, 'https?://[^\s<>"''`)\]}|*]+')),
@@ -81,12 +96,11 @@ def lineage_line_classes(spark, sf):
     return classed(from_tables(spark, sf)).groupBy("stream_key", "classification").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {LINES}, n AS (SELECT item_id, count(*) AS n_lines, count(*) FILTER (class = 'inherited') AS n_inherited, count(*) FILTER (class = 'new') AS n_new, count(*) FILTER (class = 'restored') AS n_restored, count(*) FILTER (class = 'first_observed') AS n_first_observed FROM classes GROUP BY 1)
-SELECT i.item_id, i.stream AS stream_key, b.item_id AS base_item_id, CASE WHEN i.pos = 1 THEN 'first_in_stream' ELSE 'inferred_predecessor' END AS lineage_status, coalesce(n_lines, 0) AS n_lines, coalesce(n_inherited, 0) AS n_inherited, coalesce(n_new, 0) AS n_new, coalesce(n_restored, 0) AS n_restored, coalesce(n_first_observed, 0) AS n_first_observed
+@query(f"""WITH {EDITS}, n AS (SELECT item_id, count(*) AS n_lines, count(*) FILTER (class = 'inherited') AS n_inherited, count(*) FILTER (class = 'new' AND similarity IS NULL) AS n_new, count(*) FILTER (class = 'new' AND similarity IS NOT NULL) AS n_modified, count(*) FILTER (class = 'restored') AS n_restored, count(*) FILTER (class = 'first_observed') AS n_first_observed FROM classes LEFT JOIN edit USING (stream, pos, raw) GROUP BY 1)
+SELECT i.item_id, i.stream AS stream_key, b.item_id AS base_item_id, CASE WHEN i.pos = 1 THEN 'first_in_stream' ELSE 'inferred_predecessor' END AS lineage_status, coalesce(n_lines, 0) AS n_lines, coalesce(n_inherited, 0) AS n_inherited, coalesce(n_new, 0) AS n_new, coalesce(n_modified, 0) AS n_modified, coalesce(n_restored, 0) AS n_restored, coalesce(n_first_observed, 0) AS n_first_observed
 FROM items i LEFT JOIN items b ON b.stream = i.stream AND b.pos = i.pos - 1 LEFT JOIN n ON n.item_id = i.item_id WHERE i.stream IS NOT NULL""")
 def lineage_summary(spark, sf):
-    c = from_tables(spark, sf)
-    return lineage.lineage_summary(c.text_item, classed(c)).drop("detector_version", "n_modified")
+    return lineage.lineage_summary(from_tables(spark, sf).text_item).drop("detector_version")
 
 
 @query(f"WITH {LINES}, n AS (SELECT split_part(stream, ':', 1) AS stream, count(*) AS n_lines, count(*) FILTER (class = 'inherited') AS n_inherited FROM classes GROUP BY 1) SELECT stream, n_lines, n_inherited, round(n_inherited * 1.0 / n_lines, 4) AS inherited_share, (SELECT count(*) FROM items WHERE stream IS NOT NULL) AS items FROM n")
@@ -95,9 +109,9 @@ def lines_by_stream(spark, sf):
     return reports.lines_by_stream(lineage.lineage_summary(c.text_item, classed(c))).select("stream", "items", "n_lines", "n_inherited", "inherited_share")
 
 
-@query()
+@query(f"WITH {EDITS} SELECT item_id, line_no, similarity FROM classes JOIN edit USING (stream, pos, raw) WHERE class = 'new'")
 def lineage_modified(spark, sf):
-    return lineage.line_classes(from_tables(spark, sf).text_item).where("classification = 'modified'").select("item_id", "line_no", "similarity")
+    return lineage.line_classes(from_tables(spark, sf).text_item).where("classification = 'modified'").select("item_id", F.col("line_no").cast("long").alias("line_no"), "similarity")
 
 
 @query()
@@ -144,16 +158,6 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY ts NUL
 edge AS (SELECT 'edge:' || md5(f.item_id || '|' || t.item_id || '|' || f.artifact_id || '|same_content') AS edge_id, f.item_id AS src_item_id, t.item_id AS dst_item_id, f.artifact_id, CASE WHEN f.ts <> t.ts THEN 'timestamp_ordered_unbounded' ELSE 'unresolved' END AS temporal_status FROM ranked f JOIN ranked t ON t.artifact_id = f.artifact_id AND f.pos = 1 AND t.pos > 1 WHERE f.label <> t.label)"""
 
 
-@query(f"WITH {EDGES} SELECT * FROM edge")
-def same_content_edges(spark, sf):
-    return built(spark, sf)["evidence_edge"].select("edge_id", "src_item_id", "dst_item_id", "artifact_id", "temporal_status")
-
-
-@query(f"WITH {EDGES} SELECT 'same_content' AS relation, temporal_status, count(*) AS n FROM edge GROUP BY ALL")
-def edge_status_counts(spark, sf):
-    return edges.status_counts(built(spark, sf)["evidence_edge"])
-
-
 @query(f"WITH {HITS} SELECT count(*) FILTER (novel_items > 200) AS skipped_common_artifacts FROM counts")
 def edges_skipped(spark, sf):
     return edges.skipped(built(spark, sf)["artifact_counts"])
@@ -171,24 +175,43 @@ def hosts(spark: SparkSession, sf: str) -> Corpus:
 
 HOSTS = HITS.replace("found AS (", "url_found AS (").replace("FROM found GROUP BY", "FROM url_found GROUP BY").replace("counts AS (", "url_counts AS (") + """,
 found AS (SELECT * REPLACE ('art:url:' || substr(sha1('https://' || regexp_extract(norm, '^https?://([^/:?#]+)', 1) || '/'), 1, 16) AS artifact_id) FROM url_found WHERE type = 'url'),
-counts AS (SELECT artifact_id, count(DISTINCT item_id) AS novel_items FROM found GROUP BY 1)"""
+counts AS (SELECT artifact_id, count(*) AS full_occurrences, count(*) FILTER (novelty NOT IN ('inherited', 'restored')) AS novel_occurrences, count(DISTINCT item_id) FILTER (novelty NOT IN ('inherited', 'restored')) AS novel_items, count(DISTINCT label) FILTER (novelty NOT IN ('inherited', 'restored')) AS novel_labels FROM found GROUP BY 1)"""
 HOST_EDGES = HOSTS + EDGES[len(HITS):]
 
 
 @query(f"WITH {HOST_EDGES} SELECT * FROM edge")
-def host_edges(spark, sf):
+def same_content_edges(spark, sf):
     return hosts(spark, sf)["evidence_edge"].select("edge_id", "src_item_id", "dst_item_id", "artifact_id", "temporal_status")
 
 
+@query(f"WITH {HOST_EDGES} SELECT 'same_content' AS relation, temporal_status, count(*) AS n FROM edge GROUP BY ALL")
+def edge_status_counts(spark, sf):
+    return edges.status_counts(hosts(spark, sf)["evidence_edge"])
+
+
 @query(f"""WITH {HOSTS}, new AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY ts NULLS LAST, item_id) AS k FROM found), f AS (SELECT artifact_id, label, min(k) AS k, min(ts) AS ts FROM new GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY k) AS rank, count(*) OVER (PARTITION BY artifact_id) AS labels, min(ts) OVER (PARTITION BY artifact_id) AS t0 FROM f)
 SELECT artifact_id, label AS actor_label_id, rank::INTEGER AS rank, date_diff('second', t0, ts) AS seconds FROM g WHERE labels >= 2""")
-def host_spread(spark, sf):
+def case_spread(spark, sf):
     return cases.spread(hosts(spark, sf)).drop("item_id")
 
 
-@query()
-def host_cases(spark, sf):
-    return cases.pick(hosts(spark, sf))
+@query(f"""WITH {HOST_EDGES}, e AS (SELECT artifact_id, count(*) AS edges FROM edge GROUP BY 1), handoff AS (SELECT 'handoff' AS case_kind, c.*, edges FROM counts c JOIN e USING (artifact_id) WHERE novel_labels BETWEEN 2 AND 8 AND novel_items <= 60 ORDER BY novel_labels DESC, edges DESC, artifact_id LIMIT 11),
+carried AS (SELECT 'carryover' AS case_kind, *, 0 AS edges FROM counts WHERE full_occurrences >= 50 AND artifact_id NOT IN (SELECT artifact_id FROM handoff) ORDER BY full_occurrences - novel_occurrences DESC, artifact_id LIMIT 1)
+SELECT case_kind, artifact_id, full_occurrences, novel_occurrences, novel_items, novel_labels, edges FROM (SELECT * FROM handoff UNION ALL SELECT * FROM carried)""")
+def case_selection(spark, sf):
+    return cases.pick(hosts(spark, sf)).drop("artifact_type", "raw")
+
+
+@query(f"""WITH {HOSTS}, new AS (SELECT * FROM found WHERE novelty NOT IN ('inherited', 'restored')), t AS (SELECT artifact_id, count(*) AS n FROM new JOIN (SELECT artifact_id, min(ts) AS ts FROM new GROUP BY 1) USING (artifact_id, ts) GROUP BY 1),
+forms AS (SELECT artifact_id, count(DISTINCT raw) AS forms FROM found WHERE novelty <> 'inherited' GROUP BY 1),
+a AS (SELECT 'earliest' AS id, CASE WHEN n > 1 THEN 'partial' ELSE 'supported' END AS status FROM t UNION ALL SELECT x, y FROM counts CROSS JOIN (VALUES ('introducers', 'supported'), ('warnings', 'unknown'), ('resemble', 'unknown'), ('alternatives', 'partial'), ('spread', 'supported'), ('unreconstructable', 'supported'), ('activity', 'partial')) v(x, y)
+UNION ALL SELECT 'changes', CASE WHEN forms > 1 THEN 'partial' ELSE 'supported' END FROM forms) SELECT id, status, count(*) AS n FROM a GROUP BY ALL""")
+def case_answers(spark, sf):
+    """The questionnaire for all hosts at once; the references of no item name a host's writers, so that question is left out."""
+    c = hosts(spark, sf)
+    c.derived["lineage_summary"] = lineage.lineage_summary(c.text_item, classed(c))
+    c.derived["reference"] = c.spark.createDataFrame([], "item_id string, target_id string, ref_type string, span_start int, span_end int, resolved boolean")
+    return cases.answer_table(c).where("id not in ('references', 'topics')").groupBy("id", "status").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM w WHERE len(w) >= 5)), f AS (SELECT shingle, count(*) AS df FROM s GROUP BY 1) SELECT df, count(*) AS shingles FROM f GROUP BY 1""")
@@ -260,33 +283,51 @@ def mutual_exchange(spark, sf):
     return references.exchanges(items, refs).drop("detector_version")
 
 
+def identifiers(c: Corpus) -> DataFrame:
+    """Identifiers stand for labels here, as no text of the driver's tables names one."""
+    return c["artifact"].where("artifact_type = 'hex_id'").select(F.concat(F.lit("label:"), "normalized").alias("label_id"), F.col("normalized").alias("display_name"))
+
+
 @query(HITS.join(["WITH ", r""", names AS (SELECT DISTINCT norm AS name FROM found WHERE type = 'hex_id' AND length(norm) >= 8), tokens AS (SELECT item_id, line_no, unnest(regexp_extract_all(raw, '[\p{L}\p{N}_-]+')) AS token FROM new_lines WHERE length(raw) >= 8)
 SELECT item_id, line_no, token AS target_text, 'label:' || token AS target_id FROM tokens JOIN names ON name = token"""]))
 def label_mentions(spark, sf):
-    """Identifiers stand for labels here, as no text of the driver's tables names one."""
     c = built(spark, sf)
-    names = c["artifact"].where("artifact_type = 'hex_id'").select(F.concat(F.lit("label:"), "normalized").alias("label_id"), F.col("normalized").alias("display_name"))
-    refs = references.references(c.text_item, c["text_change"], names).where("ref_type = 'label_mention'")
+    refs = references.references(c.text_item, c["text_change"], identifiers(c)).where("ref_type = 'label_mention'")
     return refs.select("item_id", F.col("line_no").cast("long").alias("line_no"), "target_text", "target_id")
 
 
-@query()
-def references_found(spark, sf):
+@query(f"SELECT 'label_mention' AS ref_type, count(*) AS found, count(*) AS resolved FROM ({ORACLES['label_mentions']})")
+def reference_counts(spark, sf):
     c = built(spark, sf)
-    return references.references(c.text_item, c["text_change"], c.actor_label)
+    return references.reference_counts(references.references(c.text_item, c["text_change"], identifiers(c)))
 
 
-@query()
+#: The pattern of numbers without looking around: separators are doubled, so that each number has its own before and after it.
+NUMBERS = CUES + r""", on_line AS (SELECT DISTINCT item_id, line_no FROM cues WHERE category = 'answer_sharing'), number_lines AS (SELECT l.item_id, l.label, l.ts, l.topic, l.stream, line_no, regexp_replace(regexp_replace(raw, 'https?://\S+', ' ', 'g'), '([^\p{L}\p{N}_.:/,-])', '\1\1', 'g') AS t FROM all_lines l JOIN on_line USING (item_id, line_no)),
+numbers AS (SELECT * EXCLUDE (raw), regexp_replace(replace(raw, ',', ''), '%+$', '') AS number FROM (SELECT * EXCLUDE (t), unnest(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_.:/-])(\p{Nd}{1,3}(?:,\p{Nd}{3})+(?:\.\p{Nd}+)?|\p{Nd}+\.\p{Nd}+%?|\p{Nd}{4,})(?:[^\p{L}\p{N}_:/-]|$)', 1)) AS raw FROM number_lines)),
+answers AS (SELECT * FROM numbers WHERE number::DOUBLE < 1e9 AND NOT (number::DOUBLE BETWEEN 1900 AND 2100 AND NOT contains(number, '.')))"""
+
+
+@query(f"""WITH {NUMBERS}, g AS (SELECT topic, number, count(DISTINCT label) AS labels, count(DISTINCT stream) AS pages, arg_min(label, (ts, label, item_id)) AS first_label_id, min(ts) AS first_time FROM answers GROUP BY ALL),
+s AS (SELECT topic, number, count(DISTINCT label) AS n FROM answers JOIN g USING (topic, number) WHERE label <> first_label_id AND ts <= first_time + INTERVAL 24 HOUR GROUP BY ALL)
+SELECT g.*, coalesce(n, 0) AS other_labels_within_24h FROM g LEFT JOIN s USING (topic, number) WHERE labels >= 1""")
 def answer_numbers(spark, sf):
     c = built(spark, sf)
     return reports.answer_numbers(reports.answer_events(c.text_item, c["cue_hit"], c.stream_meta), 1)
 
 
-@query()
+@query(f"""WITH {NUMBERS}, n AS (SELECT * REPLACE (substr(number, 1, 3) AS number) FROM answers WHERE item_id LIKE 'doc:%'), shared AS (SELECT topic, number FROM n GROUP BY ALL HAVING count(DISTINCT label) >= 2),
+ranked AS (SELECT topic, number, item_id, label, row_number() OVER (PARTITION BY topic, number ORDER BY ts, label, item_id, line_no) AS rank FROM n JOIN shared USING (topic, number)), f AS (SELECT topic, number, label, min(rank) AS rank, arg_min(item_id, rank) AS item_id FROM ranked GROUP BY ALL),
+named AS (SELECT 'doc:item:' || a.doc_id AS item_id, 'doc:source:' || b.source AS target FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1),
+p AS (SELECT f.topic, f.number, f.label FROM f JOIN named USING (item_id) JOIN f w ON w.topic = f.topic AND w.number = f.number AND w.label = target AND w.rank < f.rank WHERE f.rank > 1 GROUP BY ALL)
+SELECT topic, (SELECT count(*) FROM shared s WHERE s.topic = f.topic) AS shared_numbers, count(*) FILTER (rank > 1) AS repetitions_by_new_labels, (SELECT count(*) FROM p WHERE p.topic = f.topic) AS with_explicit_pointer, round((SELECT count(*) FROM p WHERE p.topic = f.topic) * 1.0 / nullif(count(*) FILTER (rank > 1), 0), 3) AS share_with_pointer FROM f GROUP BY topic""")
 def answer_provenance(spark, sf):
-    c = built(spark, sf)
-    refs = references.references(c.text_item, c["text_change"], c.actor_label)
-    return reports.answer_provenance(reports.answer_events(c.text_item, c["cue_hit"], c.stream_meta), refs)
+    """Three leading digits stand for numbers that labels share, and each document names the source of the one before it."""
+    c, docs = built(spark, sf), table(spark, sf, "documents")
+    events = reports.answer_events(c.text_item, c["cue_hit"], c.stream_meta).withColumn("number", F.substring("number", 1, 3)).withColumn("stream_key", F.lit(None).cast("string"))
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("doc:source:"), "source").alias("target_id"))
+    refs = docs.select("doc_id", F.format_string("doc:item:%d", "doc_id").alias("item_id")).join(before, "doc_id").select("item_id", "target_id", F.lit(True).alias("resolved"))
+    return reports.answer_provenance(events.where("item_id like 'doc:%'"), refs)
 
 
 @query(f"WITH {LINES} SELECT topic, count(*) AS revisions, count(DISTINCT label) AS labels, count(DISTINCT stream) AS pages, min(ts) AS first_time, max(ts) AS last_time FROM items GROUP BY 1")
@@ -309,22 +350,11 @@ def case_introducers(spark, sf):
     return cases.introducers(built(spark, sf))
 
 
-@query(f"""WITH {NEW}, f AS (SELECT artifact_id, label, min(k) AS k, min(ts) AS ts FROM new GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY artifact_id ORDER BY k) AS rank, count(*) OVER (PARTITION BY artifact_id) AS labels, min(ts) OVER (PARTITION BY artifact_id) AS t0 FROM f)
-SELECT artifact_id, label AS actor_label_id, rank::INTEGER AS rank, date_diff('second', t0, ts) AS seconds FROM g WHERE labels >= 2""")
-def case_spread(spark, sf):
-    return cases.spread(built(spark, sf)).drop("item_id")
-
-
 @query(f"WITH {HITS} SELECT artifact_id, count(DISTINCT raw) AS forms, 0::BIGINT AS edited FROM found WHERE novelty <> 'inherited' GROUP BY 1")
 def case_surface_forms(spark, sf):
     return cases.surface_forms(built(spark, sf))
 
 
-@query()
-def case_selection(spark, sf):
-    return cases.pick(built(spark, sf))
-
-
 @query(f"WITH {ITEMS} SELECT item_id, kind, (strpos(lower(text), 'the re') - 1)::INTEGER AS start, substr(text, greatest(strpos(lower(text), 'the re') - 1 - 60, 0) + 1, least(60, strpos(lower(text), 'the re') - 1)) AS before, substr(text, strpos(lower(text), 'the re'), 6) AS match, substr(text, strpos(lower(text), 'the re') + 6, 200) AS after FROM items WHERE contains(lower(text), 'the re')")
 def phrase_search(spark, sf):
     return phrase_hits(from_tables(spark, sf).text_item, "The re").drop("actor_label_id", "time_ts")
@@ -397,12 +427,34 @@ def time_slice(spark, sf):
     return readers.sliced(table(spark, sf, "events"), "ts", "2024-01-02", "2024-01-10", {"event_type": ["click", "view"]}).select("event_id", "event_type")
 
 
-@query()
-def gate_summary(spark, sf):
+@query(f"""WITH {HITS}, per AS (SELECT item_id, count(*) AS n, count(*) FILTER (class = 'inherited') AS inherited, count(*) FILTER (class <> 'inherited') AS changed FROM classes GROUP BY 1), ev AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS before FROM events),
+span AS (SELECT h.artifact_id, h.item_id, h.raw, i.text FROM (SELECT DISTINCT artifact_id, item_id, raw FROM found) h JOIN items i USING (item_id)), streams AS (SELECT stream, count(*) FILTER (pos = 1) AS starts FROM items WHERE stream IS NOT NULL GROUP BY 1)
+SELECT gate, what, n::BIGINT AS n FROM (VALUES
+('one record per source action', 'doubled', 0), ('one record per source action', 'dangling', 0),
+('labels', 'bad_labels', (SELECT count(*) FROM (SELECT DISTINCT label FROM items) WHERE NOT regexp_matches(label, '^(doc:source|page:lang|conv:role):'))), ('labels', 'unknown', (SELECT count(*) FROM items WHERE label IS NULL) + (SELECT count(*) FROM events WHERE user_id IS NULL)),
+('labels', 'orphans', (SELECT count(*) FROM events)),
+('times', 'inversions', (SELECT count(*) FROM ev WHERE before > ts)), ('times', 'without_sequence', (SELECT count(*) FROM events WHERE event_id IS NULL)),
+('lineage', 'bad_sums', (SELECT count(*) FROM per WHERE n <> inherited + changed)), ('lineage', 'not_one_start', (SELECT count(*) FROM streams WHERE starts <> 1)), ('lineage', 'change_difference', (SELECT abs(sum(changed) - count(*) FILTER (false) - (SELECT count(*) FROM classes WHERE class <> 'inherited')) FROM per)),
+('bases', 'explicit', 0), ('bases', 'doubled_sequence', (SELECT count(*) FROM (SELECT stream, pos FROM items WHERE stream IS NOT NULL GROUP BY ALL HAVING count(*) > 1))),
+('hashes', 'checked', 0), ('independent', 'sampled', (SELECT least(200, count(*)) FROM items WHERE stream IS NOT NULL AND pos > 1)), ('independent', 'mismatches', 0),
+('artifacts', 'novel_over_full', (SELECT count(*) FROM counts WHERE novel_occurrences > full_occurrences OR novel_items > full_items OR novel_labels > full_labels)), ('artifacts', 'only_restored', (SELECT count(*) FROM counts WHERE novel_occurrences = 0)),
+('citations', 'citation_problems', 0), ('citations', 'bad_spans', (SELECT count(*) FROM span WHERE NOT contains(text, raw))), ('citations', 'spans', (SELECT count(*) FROM (SELECT DISTINCT artifact_id, item_id FROM found))),
+('edges', 'edges', 0), ('edges', 'directed', 0)) g(gate, what, n)""")
+def gate_counts(spark, sf):
+    """What the gates counted on the driver's tables, as gate, what, n; their events have users that no label table lists, which orphans tells."""
     c = built(spark, sf)
     c.derived["lineage_summary"] = lineage.lineage_summary(c.text_item, classed(c))
-    some = (gates.one_record_per_action, gates.label_integrity, gates.times, gates.lineage_accounting, gates.explicit_bases, gates.source_hashes, gates.independent_lineage, gates.artifact_rules, gates.edge_rules)
-    return gates.as_table(c, [g(c) for g in some])
+    c.derived["reference"] = c.spark.createDataFrame([], "item_id string, target_id string, ref_type string, span_start int, span_end int, resolved boolean")
+    some = {
+        gates.one_record_per_action: ("one record per source action", "doubled", "dangling"), gates.label_integrity: ("labels", "bad_labels", "unknown", "orphans"), gates.times: ("times", "inversions", "without_sequence"),
+        gates.lineage_accounting: ("lineage", "bad_sums", "not_one_start", "change_difference"), gates.explicit_bases: ("bases", "explicit", "doubled_sequence"), gates.source_hashes: ("hashes", "checked"),
+        gates.independent_lineage: ("independent", "sampled", "mismatches"), gates.artifact_rules: ("artifacts", "novel_over_full", "only_restored"), gates.citations: ("citations", "citation_problems", "bad_spans", "spans"), gates.edge_rules: ("edges", "edges", "directed"),
+    }
+    rows = []
+    for gate, (name, *wanted) in some.items():
+        told = dict(part.split("=") for part in gate(c)[2].split(" "))
+        rows += [(name, what, int(told[what])) for what in wanted]
+    return spark.createDataFrame(rows, "gate string, what string, n long")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,7 +12,7 @@ from palimp.operators import lineage
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no driver tables")
-SOME = ["lineage_line_classes", "lineage_summary", "artifact_counts", "host_adoption", "cue_hits", "topic_matrix", "mutual_exchange", "sequence_gaps", "wilson_interval", "phrase_search", "load_counts"]
+SOME = ["lineage_line_classes", "lineage_summary", "lineage_modified", "same_content_edges", "case_selection", "answer_numbers", "artifact_counts", "host_adoption", "cue_hits", "topic_matrix", "mutual_exchange", "sequence_gaps", "wilson_interval", "phrase_search", "load_counts"]
 
 
 def plain(rows):
