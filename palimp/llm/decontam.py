@@ -22,7 +22,7 @@ UNITS = "mm cm m km kg g mg lb lbs oz l ml s sec min h hr hour hours minute minu
 _NUMBER, _UNIT, _NAME = "#number", "#unit", "#name"
 #: Forms of a window, as bits: a window without slots has the same hash in both.
 _CANONICAL, _PLAIN = 1, 2
-_CODES = "array<struct<hash:bigint,plain:bigint,word:boolean>>"
+_CODES = "array<struct<hash:bigint,plain:bigint>>"
 
 
 def _tokens(text: Column) -> Column:
@@ -37,10 +37,9 @@ def _kind(tokens: Column, t: Column, i: Column) -> Column:
 
 
 def _codes(tokens: Column) -> Column:
-    """Two hashes for each word: hash is the same for all values of a placeholder, plain is the lower-cased word's; word: it is no placeholder. Sentence marks are left out."""
-    mark, slots = F.xxhash64(F.lit("")), [F.xxhash64(F.lit(kind)) for kind in (_NUMBER, _UNIT, _NAME)]
-    both = F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t))).alias("hash"), F.xxhash64(F.lower(t)).alias("plain")))
-    return F.transform(F.filter(both, lambda h: h["hash"] != mark), lambda h: F.struct(h["hash"].alias("hash"), h["plain"].alias("plain"), (~h["hash"].isin(*slots)).alias("word")))
+    """Two hashes for each word: hash is the same for all values of a placeholder, plain is the lower-cased word's; sentence marks are left out."""
+    mark = F.xxhash64(F.lit(""))
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.coalesce(_kind(tokens, t, i), F.lower(t))).alias("hash"), F.xxhash64(F.lower(t)).alias("plain"))), lambda h: h["hash"] != mark)
 
 
 def _slots(tokens: Column) -> Column:
@@ -52,19 +51,19 @@ def _slots(tokens: Column) -> Column:
 def _doubled(codes: Column, width: int) -> Column:
     """Hashes of windows of 2 * width words from those of width words."""
     n = F.size(codes) - width
-    both = lambda a, b: F.struct(F.xxhash64(a["hash"], b["hash"]).alias("hash"), F.xxhash64(a["plain"], b["plain"]).alias("plain"), (a["word"] | b["word"]).alias("word"))
+    both = lambda a, b: F.struct(F.xxhash64(a["hash"], b["hash"]).alias("hash"), F.xxhash64(a["plain"], b["plain"]).alias("plain"))
     return F.when(n > 0, F.zip_with(F.slice(codes, 1, F.greatest(n, F.lit(1))), F.slice(codes, width + 1, F.greatest(n, F.lit(1))), both)).otherwise(F.array().cast(_CODES))
 
 
 def _joined(codes: Column, width: int) -> Column:
     """Hashes of windows of a few words."""
     at = lambda i, name: [F.get(codes, i + k)[name] for k in range(width)]
-    one = lambda i: F.struct(F.xxhash64(*at(i, "hash")).alias("hash"), F.xxhash64(*at(i, "plain")).alias("plain"), F.greatest(*at(i, "word")).alias("word"))
+    one = lambda i: F.struct(F.xxhash64(*at(i, "hash")).alias("hash"), F.xxhash64(*at(i, "plain")).alias("plain"))
     return F.when(F.size(codes) >= width, F.transform(F.sequence(F.lit(0), F.size(codes) - width), one)).otherwise(F.array().cast(_CODES))
 
 
 def _windows(rows: DataFrame, width: int = WINDOW) -> DataFrame:
-    """A row for each window and form that differs: the columns of rows but tokens, at, hash, forms. Without a plain word a window has the plain form only: placeholders alone would join all lists of numbers or names."""
+    """A row for each window and form that differs: the columns of rows but tokens, at, hash, forms."""
     kept = [c for c in rows.columns if c != "tokens"]
     step = rows.select(*kept, _codes(F.col("tokens")).alias("c"))
     if width == WINDOW:
@@ -76,7 +75,7 @@ def _windows(rows: DataFrame, width: int = WINDOW) -> DataFrame:
     step = step.select(*kept, F.posexplode_outer("c").alias("at", "w")).where("w is not null")
     form = lambda hash_, forms: F.struct(hash_.alias("hash"), F.lit(forms).alias("forms"))
     apart = F.array(form(F.col("w.hash"), _CANONICAL), form(F.col("w.plain"), _PLAIN))
-    return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).when(F.col("w.word"), apart).otherwise(F.array(form(F.col("w.plain"), _PLAIN)))).alias("w")).select(*kept, "at", "w.*")
+    return step.select(*kept, "at", F.explode_outer(F.when(F.col("w.hash") == F.col("w.plain"), F.array(form(F.col("w.hash"), _CANONICAL | _PLAIN))).otherwise(apart)).alias("w")).select(*kept, "at", "w.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", within: bool = False) -> DataFrame:
@@ -94,7 +93,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = items.where(F.col("size") >= LEAST_ITEM)
     short = [r["size"] for r in items.where(F.col("size") < WINDOW).select("size").distinct().collect()]  # WINDOW values at most
     wide = lambda df: reduce(DataFrame.unionByName, [_windows(df.where(F.col("size") == n) if "size" in df.columns else df, n) for n in sorted(short)], _windows(df))
-    item_windows = stored(wide(items).select("item", "size", F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms")).coalesce(8), "benchmark-windows")
+    # Without a plain word an item's window has the plain form only: placeholders alone would join all lists of numbers or names.
+    item_windows = wide(items.withColumn("slots", F.transform(_slots(F.col("tokens")), lambda x: x["word"])))
+    in_window = F.size(F.filter("slots", lambda w: (w >= F.col("at")) & (w < F.col("at") + F.least(F.lit(WINDOW), F.col("size")))))
+    item_windows = item_windows.where((F.col("forms") != _CANONICAL) | (in_window < F.least(F.lit(WINDOW), F.col("size"))))
+    item_windows = stored(item_windows.select("item", "size", F.col("at").alias("item_at"), "hash", F.col("forms").alias("item_forms")).coalesce(8), "benchmark-windows")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text).alias("version"), _tokens(text).alias("tokens"))
     hits = wide(rows).join(item_windows, "hash").select("k", "version", "item", "size", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.col("forms").bitwiseAND(F.col("item_forms")).alias("forms")).distinct()
