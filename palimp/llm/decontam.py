@@ -88,6 +88,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     session's limit and shuffled by hash beyond. A window shared by many documents is split by Spark's skew join.
     Null and empty texts match nothing; null ids form rows with a null id; repeated rows give one row; empty tables give none.
     """
+    judged = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, within)
+    # Least form first: plain runs give the figures only where no canonical run holds.
+    figures = F.struct("form", F.max("n_words").over(by := Window.partitionBy("k", "item", "form")).alias("n_words"), F.coalesce(F.max("n_slots").over(by), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed").over(by), F.lit(0)).alias("n_changed"))
+    best = judged.select("k", "item", figures.alias("best")).groupBy(F.col("k").alias(id_col), F.col("item").alias("item_id")).agg(F.min("best").alias("best"))
+    return best.select(id_col, "item_id", *(F.col(f"best.{c}").cast("long").alias(c) for c in ("n_words", "n_slots", "n_changed")))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, within: bool) -> DataFrame:
+    """The runs that hold, a row for each: k, version (a hash of the text), item, form, n_words, n_slots, n_changed."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), _tokens(text_or_empty(item_text_col)).alias("tokens")).dropDuplicates()
     items = items.withColumn("size", F.size(_codes(F.col("tokens"))))
     items = items.where(F.col("size") >= LEAST_ITEM)
@@ -129,15 +138,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for c in key:
         same = same & runs[c].eqNullSafe(slots[c])
     judged = runs.join(slots, same, "left").where("n_slots is null or (mapped = values and mapped = item_values)")
-    judged = judged.select(runs["k"].alias("k"), runs["item"].alias("item"), runs["form"].alias("form"), "n_words", "n_slots", "n_changed")
-    # Least form first: plain runs give the figures only where no canonical run holds.
-    figures = F.struct("form", F.max("n_words").over(by := Window.partitionBy("k", "item", "form")).alias("n_words"), F.coalesce(F.max("n_slots").over(by), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed").over(by), F.lit(0)).alias("n_changed"))
-    best = judged.select("k", "item", figures.alias("best")).groupBy(F.col("k").alias(id_col), F.col("item").alias("item_id")).agg(F.min("best").alias("best"))
-    return best.select(id_col, "item_id", *(F.col(f"best.{c}").cast("long").alias(c) for c in ("n_words", "n_slots", "n_changed")))
+    return judged.select(runs["k"].alias("k"), runs["version"].alias("version"), runs["item"].alias("item"), runs["form"].alias("form"), "n_words", "n_slots", "n_changed")
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their columns as they are. A verbatim stretch counts whatever slots change around it."""
-    held = unused(docs, "held")
-    found = stored(decontaminate(docs, benchmark, id_col, within=True).select(F.col(id_col).alias(held)).distinct(), "benchmark-held")
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col(held)), "left_anti")
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no benchmark item, with their columns as they are; rows of one id, or of none, are judged each by its text. A verbatim stretch counts whatever slots change around it."""
+    held, version = unused(docs, "held"), unused(docs, "version")
+    found = _judged(docs, benchmark, id_col, text_col, item_col, item_text_col, within=True).select(F.col("k").alias(held), F.col("version").alias(version)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(held)) & (F.xxhash64(text_or_empty(text_col)) == F.col(version))
+    return docs.join(stored(found, "benchmark-held"), same, "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from palimp.llm import oracles
 from palimp.llm.ann import neighbours
@@ -64,11 +65,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def packing_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document whether its pieces hold each id once, and stand in sequences that are gapless and full or a power of two."""
+    rows = op9_packing(spark, sf_dir)
+    before = lambda key, order: F.coalesce(F.sum("length").over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("before", before("doc_id", "start")).withColumn("filled", before("sequence_id", "offset")).withColumn("total", F.sum("length").over(Window.partitionBy("sequence_id")))
+    good = (F.col("filled") == F.col("offset")) & (F.col("total") <= 1024) & (F.col("total").bitwiseAND(F.col("total") - 1) == 0)
+    per = rows.groupBy("doc_id").agg(F.bool_and((F.col("before") == F.col("start")) & (F.col("length") > 0)).alias("in_order"), F.sum("length").alias("tokens"), F.max("doc_tokens").alias("said"), F.bool_and(good).alias("sequences"))
+    return per.select("doc_id", (F.col("in_order") & (F.col("tokens") == F.col("said"))).alias("whole"), "sequences")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_toxicity, op2_licenses, op3_ngram_join, op4_secrets, op5_token_counts, op6_repeats, op7_neighbours, op8_decontamination, op9_packing, op10_html)
-    return {f.__name__: f for f in ops}
+    return {f.__name__: f for f in (*ops, packing_contract)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for what it can express; the classifier, the tokeniser, the packer, the index and HTML are tested against plain versions instead."""
-    return {"op2_licenses": oracles.licenses(), "op3_ngram_join": oracles.ngram_join(), "op4_secrets": oracles.secrets(), "op6_repeats": oracles.repeats(), "op8_decontamination": oracles.decontamination()}
+    """SQL for what it can express; the classifier, the tokeniser, the index and HTML are tested against plain versions instead, the packer by what its contract says of every document."""
+    return {"packing_contract": "SELECT doc_id, TRUE AS whole, TRUE AS sequences FROM documents", "op2_licenses": oracles.licenses(), "op3_ngram_join": oracles.ngram_join(), "op4_secrets": oracles.secrets(), "op6_repeats": oracles.repeats(), "op8_decontamination": oracles.decontamination()}

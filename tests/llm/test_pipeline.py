@@ -66,4 +66,4 @@ def test_run_is_the_stages(spark, tmp_path):
 
 
 def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == list(range(1, 11))
