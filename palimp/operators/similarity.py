@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from palimp.functions.patterns import WORD, each
 from palimp.model import NOVEL
 from palimp.operators.edges import ALTERNATIVES, temporal_status
 from palimp.operators.lineage import lines
+from palimp.phases import emptied, stored
 
 VERSION = "similarity-1"
 #: Words of a shingle and of a seed, days around it, candidates of a seed, document frequency of a rare shingle, shared rare shingles, and the kinds compared.
@@ -39,22 +46,127 @@ def shingle_frequency(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
     return shingle_rows(texts, n).groupBy("shingle").agg(F.count("*").alias("df"))
 
 
+def hashed(texts: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """unit, shingles: 64-bit hashes of the distinct runs of n words, of texts that have any. Texts of one unit are taken together."""
+    tokens = texts.select("unit", words(F.col("text")).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda k: F.xxhash64(*(F.get(F.col("w"), k + j) for j in range(n))))
+    out = tokens.where(F.size("w") >= n).select("unit", F.array_distinct(runs).alias("shingles"))
+    again = texts.groupBy("unit").count().where("count > 1").select("unit")
+    if again.isEmpty():
+        return out
+    whole = out.join(again, "unit", "left_semi").groupBy("unit").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles"))
+    return out.join(again, "unit", "left_anti").unionByName(whole)
+
+
+#: Prefixes are taken in an order that comes from one of so many texts, and this many at most; shingles that are put last in it at most; sets that are compared at once. No result depends on them.
+ORDER_SHARE, ORDER_TEXTS, ORDER_SHINGLES, TOGETHER = 8, 20_000, 100_000, 256
+
+
+def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and frequencies of shingles that several different texts of ORDER_TEXTS hold."""
+    share = max(ORDER_SHARE, texts.count() / ORDER_TEXTS)
+    sets = hashed(texts.where(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < (1 << 20) / share), n).select(F.sort_array("shingles").alias("s")).distinct()
+    often = each(sets, F.col("s"), "s").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES)
+    rows = often.toArrow()  # ORDER_SHINGLES rows at most
+    hashes, counts = rows["s"].to_numpy(), rows["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def sets_and_prefixes(sets: DataFrame, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """unit, class (hash of the set), size, prefix: the first size - ceil(least * size) + 1 shingles, from those that are common nowhere on, else by hash."""
+    common, counts = often
+    kind = dict(sets.dtypes)["unit"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, classes, sizes, prefixes = batch.column("shingles"), [], [], []
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for start, end in zip(ends[:-1], ends[1:], strict=True):
+                s = np.sort(values[start:end])
+                size = len(s)
+                classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                sizes.append(size)
+                prefixes.append(s[: size - math.ceil(least * size - 1e-9) + 1])
+            at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, np.concatenate([np.empty(0, np.int64), *prefixes]))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["unit", "class", "size", "prefix"])
+
+    return sets.mapInArrow(cut, f"unit {kind}, class long, size int, prefix array<bigint>")
+
+
+def candidate_pairs(cut: DataFrame, least: float) -> DataFrame:
+    """a < b, size_a, size_b of all classes that may be so similar: the first shingle they share leaves enough of both behind it."""
+    keys = cut.select("class", "size", F.posexplode("prefix").alias("at", "key")).select("key", "class", "size", (F.col("size") - F.col("at")).alias("rest"))
+    keys = keys.dropDuplicates(["key", "class"]).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    keys = stored(keys, "keys")
+    side = lambda k: keys.select("key", F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("rest").alias(f"rest_{k}"))
+    enough = F.least("rest_a", "rest_b") >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    out = stored(side("a").join(side("b"), "key").where("a < b").where(enough).select("a", "b", "size_a", "size_b").distinct(), "candidates")
+    emptied(keys)
+    return out
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """deal, class, others: pairs a, b dealt so that a task gets few sets for many comparisons. Classes go by their least neighbour, small groups together, large ones in parts of TOGETHER."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
+    size = label.groupBy("label").agg(F.count("*").alias("n"))
+    tasks = F.lit(max(1, label.count() // TOGETHER))
+    large = F.col("n") > TOGETHER
+    part = F.when(large, F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / TOGETHER))).otherwise(0)
+    place = label.join(size, "label").select("class", F.struct(large.alias("large"), F.when(large, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), tasks)).alias("group"), part.alias("part")).alias("place"))
+    place = stored(place, "places")
+    side = lambda k: place.select(F.col("class").alias(k), F.col("place").alias(f"place_{k}"))
+    deal = F.xxhash64(F.least("place_a", "place_b"), F.greatest("place_a", "place_b")).alias("deal")
+    at = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select(deal, "a", "b")
+    rows = at.select("deal", F.col("a").alias("class"), F.col("b").alias("other")).unionByName(at.select("deal", F.col("b").alias("class"), F.lit(None).cast("long").alias("other")))
+    return rows.groupBy("deal", "class").agg(F.collect_set("other").alias("others"))
+
+
+def shared(sets: pa.Table) -> pa.Table:
+    """a, b, common of the pairs of one deal."""
+    classes, lists, others = sets["class"].to_numpy(), sets["shingles"].combine_chunks(), sets["others"].to_pylist()
+    ends = lists.offsets.to_numpy()
+    ids = np.unique(lists.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)[1]
+    ends = ends - ends[0]
+    where, held = {c: k for k, c in enumerate(classes.tolist())}, np.zeros(len(ids) + 1, np.int64)
+    a, b, common = [], [], []
+    for k, (c, some) in enumerate(zip(classes.tolist(), others, strict=True)):
+        mine = ids[ends[k] : ends[k + 1]]
+        held[mine] = 1
+        a += [c] * len(some)
+        b += some
+        common += [int(held[ids[ends[x] : ends[x + 1]]].sum()) for x in map(where.__getitem__, some)]
+        held[mine] = 0
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "common": pa.array(common, pa.int64())})
+
+
 def jaccard_pairs(texts: DataFrame, least: float, n: int = SHINGLE) -> DataFrame:
     """unit_a < unit_b, common, jaccard of all pairs with at least that similarity (above 0).
 
-    Exact by prefixes: with each unit's shingles from rare to common, two such units share one among their first
-    size - ceil(least * size) + 1, so common shingles make no candidates; sizes must fit too. Shingles go by 64-bit hashes.
+    Exact by prefixes: with the shingles of all sets in one order, two such sets share one among the first
+    size - ceil(least * size) + 1 of each, whatever the order is; common shingles come last in it, so they make few candidates.
+    Equal sets are one class, whose members become pairs at the end. Only prefixes of classes are shuffled, and the sets of candidates.
     """
-    rows = shingle_rows(texts, n).select("unit", F.xxhash64("shingle").alias("shingle"))
-    ranked = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
-    by_unit = Window.partitionBy("unit")  # the shingles of one text
-    ranked = ranked.withColumn("size", F.count("*").over(by_unit)).withColumn("rank", F.row_number().over(by_unit.orderBy("df", "shingle")))
-    prefix = ranked.where((F.col("df") > 1) & (F.col("rank") <= F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1))
-    side = lambda k: prefix.select("shingle", F.col("unit").alias(f"unit_{k}"), F.col("size").alias(f"size_{k}"))
-    pairs = side("a").join(side("b"), "shingle").where("unit_a < unit_b").where(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9).select("unit_a", "unit_b", "size_a", "size_b").distinct()
-    common = pairs.join(rows.select(F.col("unit").alias("unit_a"), "shingle"), "unit_a").join(rows.select(F.col("unit").alias("unit_b"), "shingle"), ["unit_b", "shingle"]).groupBy("unit_a", "unit_b", "size_a", "size_b").agg(F.count("*").alias("common"))
-    out = common.withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common")))
-    return out.where(F.col("jaccard") >= least - 1e-12).select("unit_a", "unit_b", "common", "jaccard")
+    texts = texts.where("unit is not null")
+    cut = stored(sets_and_prefixes(hashed(texts, n), least, common_shingles(texts, n)), "prefixes")
+    members = stored(cut.select("unit", "class", "size"), "members")
+    pairs = candidate_pairs(cut, least)
+    emptied(cut)
+    deals = stored(dealt(pairs), "deals")
+    one = members.join(deals.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("unit").alias("unit"))
+    some = hashed(texts.join(one.select("unit"), "unit", "left_semi"), n).join(one, "unit").select("class", "shingles")
+    common = deals.join(some, "class").groupBy("deal").applyInArrow(shared, "a long, b long, common long")
+    sizes = common.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).where(F.col("jaccard") >= least - 1e-12)
+    near = stored(sizes.select("a", "b", "common", "jaccard"), "near")
+    side = lambda k: members.select(F.col("class").alias(k), F.col("unit").alias(f"u_{k}"))
+    apart = near.join(side("a"), "a").join(side("b"), "b").select(F.least("u_a", "u_b").alias("unit_a"), F.greatest("u_a", "u_b").alias("unit_b"), "common", "jaccard")
+    equal = members.select("class", F.col("unit").alias("unit_a"), F.col("size").cast("long").alias("common")).join(members.select("class", F.col("unit").alias("unit_b")), "class").where("unit_a < unit_b")
+    return apart.unionByName(equal.select("unit_a", "unit_b", "common", F.lit(1.0).alias("jaccard")))
 
 
 def seeds(items: DataFrame, appearance: DataFrame, artifact: str) -> DataFrame:
