@@ -74,39 +74,56 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_and_prefixes(sets: DataFrame, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """unit, class (hash of the set), size, prefix: the first size - ceil(least * size) + 1 shingles, from those that are common nowhere on, else by hash."""
+    """unit, class (hash of the set), size, bits (one for each remainder of a shingle, twice as many as shingles at least), prefix: the first size - ceil(least * size) + 1 shingles, from those that are common nowhere on, else by hash."""
     common, counts = often
     kind = dict(sets.dtypes)["unit"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, classes, sizes, prefixes = batch.column("shingles"), [], [], []
+            lists, classes, sizes, bits, prefixes = batch.column("shingles"), [], [], [], []
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             for start, end in zip(ends[:-1], ends[1:], strict=True):
                 s = np.sort(values[start:end])
                 size = len(s)
                 classes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                held = np.zeros(max(64, 1 << (2 * size - 1).bit_length()), bool)
+                held[s & (len(held) - 1)] = True
+                bits.append(np.packbits(held, bitorder="little").view("<i8"))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                 sizes.append(size)
                 prefixes.append(s[: size - math.ceil(least * size - 1e-9) + 1])
-            at = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(at, np.concatenate([np.empty(0, np.int64), *prefixes]))
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["unit", "class", "size", "prefix"])
+            joined = lambda some: pa.ListArray.from_arrays(np.cumsum([0, *map(len, some)]).astype(np.int32), np.concatenate([np.empty(0, np.int64), *some]))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), joined(bits), joined(prefixes)], ["unit", "class", "size", "bits", "prefix"])
 
-    return sets.mapInArrow(cut, f"unit {kind}, class long, size int, prefix array<bigint>")
+    return sets.mapInArrow(cut, f"unit {kind}, class long, size int, bits array<bigint>, prefix array<bigint>")
+
+
+def missing(a: Column, b: Column) -> Column:
+    """Bits of a that b lacks, a lower bound of the shingles; the longer bits are folded to the length of the shorter, which is half of it at least."""
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda v, w: v.bitwiseOR(w))).otherwise(x)
+    lacks = F.zip_with(folded(a, b), folded(b, a), lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w))))
+    return F.aggregate(lacks, F.lit(0), lambda n, x: n + x)
 
 
 def candidate_pairs(cut: DataFrame, least: float) -> DataFrame:
-    """a < b, size_a, size_b of all classes that may be so similar: the first shingle they share leaves enough of both behind it."""
+    """a < b, size_a, size_b of all classes that may be so similar: the first shingle they share leaves enough of both behind it, and so do the bits that one of them lacks."""
     keys = cut.select("class", "size", F.posexplode("prefix").alias("at", "key")).select("key", "class", "size", (F.col("size") - F.col("at")).alias("rest"))
     keys = keys.dropDuplicates(["key", "class"]).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
     keys = stored(keys, "keys")
     side = lambda k: keys.select("key", F.col("class").alias(k), F.col("size").alias(f"size_{k}"), F.col("rest").alias(f"rest_{k}"))
-    enough = F.least("rest_a", "rest_b") >= F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-9
-    out = stored(side("a").join(side("b"), "key").where("a < b").where(enough).select("a", "b", "size_a", "size_b").distinct(), "candidates")
+    enough = F.lit(least / (1 + least)) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    pairs = stored(side("a").join(side("b"), "key").where("a < b").where(F.least("rest_a", "rest_b") >= enough).select("a", "b", "size_a", "size_b").distinct(), "candidates")
     emptied(keys)
+    if least < 0.5:  # sets whose bits differ in length by more than a fold
+        return pairs
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    bits = stored(cut.select("class", "bits").join(ids, "class", "left_semi").groupBy("class").agg(F.first("bits").alias("bits")), "bits")
+    side = lambda k: bits.select(F.col("class").alias(k), F.col("bits").alias(f"bits_{k}"))
+    shared = F.least(F.col("size_a") - missing(F.col("bits_a"), F.col("bits_b")), F.col("size_b") - missing(F.col("bits_b"), F.col("bits_a")))
+    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= enough).select("a", "b", "size_a", "size_b"), "likely")
+    emptied(bits, pairs)
     return out
 
 
@@ -159,8 +176,9 @@ def jaccard_pairs(texts: DataFrame, least: float, n: int = SHINGLE) -> DataFrame
     emptied(cut)
     deals = stored(dealt(pairs), "deals")
     one = members.join(deals.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("unit").alias("unit"))
-    some = hashed(texts.join(one.select("unit"), "unit", "left_semi"), n).join(one, "unit").select("class", "shingles")
-    common = deals.join(some, "class").groupBy("deal").applyInArrow(shared, "a long, b long, common long")
+    tasks = deals.join(one, "class").groupBy("unit", "class").agg(F.collect_list(F.struct("deal", "others")).alias("tasks"))
+    some = hashed(texts.join(tasks.select("unit"), "unit", "left_semi"), n).join(tasks, "unit")
+    common = some.select("class", "shingles", F.explode("tasks").alias("t")).select("t.deal", "class", "t.others", "shingles").groupBy("deal").applyInArrow(shared, "a long, b long, common long")
     sizes = common.join(pairs, ["a", "b"]).withColumn("jaccard", F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).where(F.col("jaccard") >= least - 1e-12)
     near = stored(sizes.select("a", "b", "common", "jaccard"), "near")
     side = lambda k: members.select(F.col("class").alias(k), F.col("unit").alias(f"u_{k}"))
